@@ -15,14 +15,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df):
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Shared folder for cut lineage and small model files.
 
-    The shared folder comes from the cluster (``spark.checkpoint.dir``). Only
-    where none is set, as in tests on one machine, a temporary one is made.
+    The cluster names it in ``spark.checkpoint.dir``. Only where none is set, as
+    in tests on one machine, a temporary one is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df):
+    """Cut the lineage of ``df`` with a reliable checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
