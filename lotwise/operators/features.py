@@ -94,9 +94,7 @@ def encode(df: DataFrame, state: FeatureState, output: str = "features") -> Data
     temporary = []
     if texts:
         codes, hot = [f"__code_{i}" for i in range(len(texts))], [f"__hot_{i}" for i in range(len(texts))]
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [state.levels[c] for c in texts], inputCols=texts, outputCols=codes, handleInvalid="keep")
-        data = indexer.transform(data)
+        data = _with_codes(data, dict(zip(texts, codes)), state.levels)
         # the last slot stands for unknown levels and is the one dropped
         data = OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=True).fit(data).transform(data)
         parts += hot
@@ -105,6 +103,14 @@ def encode(df: DataFrame, state: FeatureState, output: str = "features") -> Data
     return df_with(df, assembled, output).drop(*temporary)
 
 
+def _with_codes(data: DataFrame, codes: dict[str, str], levels: dict[str, list[str]]) -> DataFrame:
+    """Level numbers per text column; an unknown level gets the number after the last."""
+    for column, code in codes.items():
+        data = StringIndexerModel.from_labels(
+            levels[column], inputCol=column, outputCol=code, handleInvalid="keep").transform(data)
+    return data
+
+
 def df_with(df: DataFrame, assembled: DataFrame, *added: str) -> DataFrame:
     """Only the original columns and the named new ones."""
     return assembled.select(*df.columns, *added)
@@ -116,9 +122,7 @@ def index_levels(df: DataFrame, state: FeatureState, output: str = "features") -
     texts = list(state.levels)
     codes = {c: f"__code_{i}" for i, c in enumerate(texts)}
     if texts:
-        labels = [sorted({*state.levels[c], MISSING_LEVEL}) for c in texts]
-        data = StringIndexerModel.from_arrays_of_labels(
-            labels, inputCols=texts, outputCols=list(codes.values()), handleInvalid="keep").transform(data)
+        data = _with_codes(data, codes, {c: sorted({*state.levels[c], MISSING_LEVEL}) for c in texts})
     parts = [codes.get(c, c) for c in state.columns]
     assembled = VectorAssembler(inputCols=parts, outputCol=output).transform(data)
     return df_with(df, assembled, output)
