@@ -174,3 +174,20 @@ def time_split(
     return TimeSplit(
         True, "", ranked.filter(~is_test).select(*plain.columns), ranked.filter(is_test).select(*plain.columns), summary
     )
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """What all models of one outcome share: feature state and time split."""
+
+    state: FeatureState
+    split: TimeSplit
+    split_state: FeatureState | None
+
+
+def prepare(
+    df: DataFrame, columns: Sequence[str], outcome: str, order_by: str | None = None, key: str = "batch_id",
+) -> Prepared:
+    state = fit_features(modelling_rows(df, outcome), columns)
+    split = time_split(df, outcome, order_by, key)
+    return Prepared(state, split, fit_features(split.train, columns) if split.available else None)
