@@ -13,7 +13,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def number_text(c: Column, pattern: str = "%.3f") -> Column:
-    return F.coalesce(F.format_string(pattern, c.cast("double")), F.lit("n/a"))
+    return F.when(c.isNotNull(), F.format_string(pattern, c.cast("double"))).otherwise("n/a")
 
 
 def range_number_text(c: Column) -> Column:
