@@ -6,6 +6,8 @@ and works the same in a projection, a filter or an aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType, NumericType, StringType
 
@@ -16,20 +18,32 @@ MISSING_MARKS = [
 ]
 
 # Fixed patterns: invisible characters, comparison marks and digit groups.
-HIDDEN_CHARACTERS = r"[\u00a0\u200b\u200c\u200d\ufeff]"
+HIDDEN_CHARACTERS = "\u00a0\u200b\u200c\u200d\ufeff"
 QUALIFIER = r"(?i)^(<=|>=|<|>|~|approx\.?|about)\s*"
 DIGIT_GROUP = r"[-+]?\d+(?:[\s.,]\d+)*"
 
-OUTER_SPACE = r"(?U)^\s+|\s+$"
+# Every white-space character; plain functions and classes are faster than
+# Unicode-aware patterns, and Spark's own trim only knows the blank.
+SPACES = (
+    " \t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    A column used in several branches of a CASE is otherwise computed in each.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def trim_all(c: Column) -> Column:
-    """Trim every kind of white space; Spark's own trim only knows the blank."""
-    return F.regexp_replace(c, OUTER_SPACE, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def drop_hidden(c: Column) -> Column:
-    return F.regexp_replace(c, HIDDEN_CHARACTERS, "")
+    return F.translate(c, HIDDEN_CHARACTERS, "")
 
 
 def is_missing_text(c: Column) -> Column:
@@ -53,11 +67,14 @@ def normalise_key(c: Column, dtype: DataType | None = None, drop_separators: boo
     callers count as missing.
     """
     text = drop_hidden(key_text(c, dtype))
-    text = F.upper(trim_all(F.regexp_replace(text, r"(?U)\s+", " ")))
-    text = F.when(~F.lower(text).isin(MISSING_MARKS), F.regexp_replace(text, r"^(\d+)\.0$", "$1"))
-    if drop_separators:
-        text = F.regexp_replace(text, r"(?U)[\s\-_]+", "")
-    return text
+    text = F.upper(trim_all(F.regexp_replace(text, f"[{SPACES}]+", " ")))
+    separators = f"[{SPACES}_-]+"
+
+    def known(t: Column) -> Column:
+        whole = F.regexp_replace(t, r"^(\d+)\.0$", "$1")
+        return F.when(~F.lower(t).isin(MISSING_MARKS), F.regexp_replace(whole, separators, "") if drop_separators else whole)
+
+    return bind(text, known)
 
 
 def resolve_decimal_mark(digits: Column) -> Column:
@@ -66,7 +83,10 @@ def resolve_decimal_mark(digits: Column) -> Column:
     With comma and dot the later one is the decimal mark; a lone comma is
     decimal; of several commas without a dot only the last one is.
     """
-    text = F.replace(digits, F.lit(" "), F.lit(""))
+    return bind(F.replace(digits, F.lit(" "), F.lit("")), _resolved)
+
+
+def _resolved(text: Column) -> Column:
     has_comma = F.contains(text, F.lit(","))
     has_dot = F.contains(text, F.lit("."))
     backwards = F.reverse(text)
@@ -85,23 +105,23 @@ def resolve_decimal_mark(digits: Column) -> Column:
     )
 
 
-def _number_parts(c: Column) -> tuple[Column, Column]:
-    text = trim_all(drop_hidden(c.cast("string")))
-    qualifier = F.regexp_extract(text, QUALIFIER, 1)
-    digits = F.regexp_extract(F.regexp_replace(text, QUALIFIER, ""), DIGIT_GROUP, 0)
-    return digits, qualifier
+def _without_mark(text: Column) -> Column:
+    """Rest of a text after its leading comparison mark."""
+    mark = F.regexp_extract(text, QUALIFIER, 0)
+    return F.substring(text, F.length(mark) + 1, F.length(text))
 
 
 def parsed_number(c: Column) -> Column:
     """Number held in a messy text, else NULL."""
-    digits, _ = _number_parts(c)
+    text = trim_all(drop_hidden(c.cast("string")))
+    digits = F.regexp_extract(bind(text, _without_mark), DIGIT_GROUP, 0)
     return F.when(~is_missing_text(c), resolve_decimal_mark(digits).try_cast("double"))
 
 
 def parsed_qualifier(c: Column) -> Column:
     """Leading comparison mark of a messy text, also when no number follows."""
-    _, qualifier = _number_parts(c)
-    return F.when(~is_missing_text(c) & (qualifier != ""), qualifier)
+    mark = F.regexp_extract(trim_all(drop_hidden(c.cast("string"))), QUALIFIER, 1)
+    return F.when(~is_missing_text(c) & (mark != ""), mark)
 
 
 def parse_number(c: Column) -> Column:

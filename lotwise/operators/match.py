@@ -42,8 +42,9 @@ def check_keys(df: DataFrame, key: str, label: str) -> None:
 
 
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
-    text = normalised_key(df, key)
-    return df.select(text.alias("batch_key")).filter(F.col("batch_key") != "").distinct()
+    counted = df.groupBy(normalised_key(df, key).alias("batch_key")).agg(F.count("*").alias("n"))
+    # tied to the count, so the key is not computed a second time below the grouping
+    return counted.filter(F.when(F.col("batch_key") != "", F.col("n")) > 0).select("batch_key")
 
 
 def unmatched_keys(process: DataFrame, qc: DataFrame, process_key: str, qc_key: str) -> DataFrame:
@@ -77,8 +78,16 @@ def join_tables(
     Keys are unique on both sides by then, so the join cannot fan out and no
     key is hot. The physical join is left to the optimizer.
     """
-    left = process.withColumn("__key", normalised_key(process, process_key))
-    right = qc.select(normalised_key(qc, qc_key).alias("__key"), *outcomes)
+    def present(df: DataFrame, key: str, side: str) -> Column:
+        """Key that is never NULL; a missing one gets a text the other side cannot have.
+
+        A nullable join key would make the optimizer add a filter that computes
+        the key again for every row of the source.
+        """
+        return F.coalesce(F.nullif(normalised_key(df, key), F.lit("")), F.lit(f"\0{side}"))
+
+    left = process.withColumn("__key", present(process, process_key, "process"))
+    right = qc.select(present(qc, qc_key, "qc").alias("__key"), *outcomes)
     joined = left.join(right, "__key", "inner").drop("__key")
     if process_key != "batch_id" and "batch_id" not in joined.columns:
         joined = joined.withColumnRenamed(process_key, "batch_id")

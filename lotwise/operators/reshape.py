@@ -52,7 +52,7 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """Normalised keys that occur more than once."""
-    return key_counts(df, key).filter(F.col("batch_key").isNotNull() & (F.col("row_count") > 1))
+    return key_counts(df, key).filter(F.when(F.col("batch_key").isNotNull(), F.col("row_count")) > 1)
 
 
 def duplicate_key_count(df: DataFrame, key: str) -> DataFrame:

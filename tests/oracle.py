@@ -42,7 +42,8 @@ def compare(frame, con, sql: str) -> str:
     if spark_columns != columns:
         return f"columns {spark_columns} against {columns}"
     if len(spark_rows) != len(rows):
-        extra = [r for r in spark_rows if r not in set(rows)][:3], [r for r in rows if r not in set(spark_rows)][:3]
+        ours, theirs = set(spark_rows), set(rows)
+        extra = sorted(ours - theirs)[:3], sorted(theirs - ours)[:3]
         return f"{len(spark_rows)} rows against {len(rows)}; {extra}"
     wrong = [(a, b) for a, b in zip(spark_rows, rows) if a != b]
     return f"{len(wrong)} rows differ, first: {wrong[:2]}" if wrong else ""
