@@ -8,9 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotwise.errors import InputError
-from lotwise.functions import clean, names
+from lotwise.functions import names
 from lotwise.functions.formats import number_text
-from lotwise.operators.reshape import duplicate_keys, field_type, normalised_key, number_column
+from lotwise.operators.reshape import duplicate_keys, key_counts, normalised_key, number_column
 
 MESSAGE_SCHEMA = "severity string, code string, message string"
 
@@ -30,14 +30,20 @@ def missing_key_count(df: DataFrame, key: str) -> DataFrame:
 
 
 def check_keys(df: DataFrame, key: str, label: str) -> None:
-    """Reject missing and repeated keys; one aggregate plus at most six rows."""
-    missing = missing_key_count(df, key).first().missing_keys
-    if missing:
-        raise InputError(f"{label}: {missing} row(s) have no batch key")
-    repeated = duplicate_keys(df, key).select("batch_key").orderBy("batch_key").limit(6).collect()
-    if repeated:
+    """Reject empty tables, missing and repeated keys; one pass when all is well."""
+    blank = F.col("batch_key").isNull() | (F.col("batch_key") == "")
+    facts = key_counts(df, key).agg(
+        F.count("*").alias("keys"), F.sum(F.when(blank, F.col("row_count"))).alias("missing"),
+        F.count_if(F.col("row_count") > 1).alias("repeated"),
+    ).first()
+    if not facts.keys:
+        raise InputError(f"{label} is empty")
+    if facts.missing:
+        raise InputError(f"{label}: {facts.missing} row(s) have no batch key")
+    if facts.repeated:
+        repeated = duplicate_keys(df, key).select("batch_key").orderBy("batch_key").limit(6).collect()
         shown = ", ".join(r.batch_key for r in repeated[:5])
-        more = " and more" if len(repeated) > 5 else ""
+        more = f" and {facts.repeated - 5} more" if facts.repeated > 5 else ""
         raise InputError(f"{label}: repeated batch keys {shown}{more}")
 
 
@@ -108,8 +114,6 @@ def match_tables(
     names.forbid_name_collisions(process.columns, outcomes, process_key)
     if check:
         for df, key, label in ((process, process_key, "process table"), (qc, qc_key, "QC table")):
-            if df.isEmpty():
-                raise InputError(f"{label} is empty")
             check_keys(df, key, label)
     data = join_tables(process, qc, process_key, qc_key, outcomes)
     if check and data.isEmpty():
