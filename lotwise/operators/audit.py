@@ -11,10 +11,8 @@ from pyspark.sql.types import DateType, NumericType, TimestampNTZType, Timestamp
 from lotwise.functions import names
 from lotwise.functions.formats import percent
 from lotwise.operators.quantiles import column_quantiles
-from lotwise.operators.reshape import field_type, number_column, to_long
-from lotwise.operators.stats import (
-    column_facts, distinct_facts, is_numeric, pair_correlations, three_values,
-)
+from lotwise.operators.reshape import field_type, to_long
+from lotwise.operators.stats import distinct_facts, is_numeric, pair_correlations, three_values
 
 LEAKAGE_CORRELATION = 0.95
 COLLINEAR_CORRELATION = 0.85
@@ -191,7 +189,7 @@ def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "variable", "n", (q[0] - 1.5 * iqr).alias("low"), (q[1] + 1.5 * iqr).alias("high"),
         q[2].alias("least"), q[3].alias("most"),
     )
-    value, inner = F.col("value"), None
+    value = F.col("value")
     inner = F.when((value > F.col("least")) & (value < F.col("most")), value)
     flagged = to_long(df, columns).join(F.broadcast(fences), "variable").groupBy(
         F.col("variable").alias("column"), "n", "low", "high"

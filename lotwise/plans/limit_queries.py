@@ -73,9 +73,6 @@ def spc_summary(spark, folder):
     return rounded(_check(spark, folder).summary.drop("reason", "priority"), 6)
 
 
-DRIVER_SCORES = "scores(variable, score) AS (SELECT variable, abs(corr(value, y)) FROM zoned GROUP BY variable)"
-
-
 @query(f"""WITH {SUMMARY_SQL}, scores AS (
   SELECT variable, CASE WHEN corr(value, y) >= 0 THEN 0.9e0 ELSE 0.1e0 END AS score FROM zoned
   WHERE variable <> 'l_extendedprice' GROUP BY variable

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from lotwise.functions.formats import rounded
 from lotwise.operators import audit, profile, stats
 from lotwise.plans import views
