@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import simhash
+from lotwise.llm import chat, rules, simhash
 from lotwise.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,51 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
         F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations formatted, and what is read back from the text and its loss mask."""
+    turns = table(spark, folder, "conversations")
+    said = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    found = chat.formatted(turns.select("conv_id", "turn", "role", "text").union(probe))
+    back = found.select(
+        "conv_id", F.length("formatted").cast("long").alias("formatted_chars"), chat.read_back(F.col("formatted")).alias("turns"),
+        chat.trained_text(F.col("segments")).alias("trained"),
+    )
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def _escaped(text: str, role: bool = False) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for control in ["</turn>", "<part/>", "###"]:
+        out = f"replace({out}, '{control}', '{control[0]}\\-{control[1:]}')"
+    return f"replace({out}, ':' || chr(10), ':\\-' || chr(10))" if role else out
+
+
+ORACLES["op7_chat"] = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS DISTINCT FROM role AS head FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length({_escaped('text')}) + CASE WHEN head THEN 14 + length({_escaped('role', True)}) ELSE 7 END)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
+@query
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every document and the verdict of the limits of its language and source."""
+    found = rules.judged(table(spark, folder, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
