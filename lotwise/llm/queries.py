@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import chat, rules, simhash
+from lotwise.llm import chat, packing, rules, sharding, simhash
 from lotwise.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of all documents: 64-bit fingerprints of four-word shingles within 4 bits."""
@@ -75,3 +81,19 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document and the verdict of the limits of its language and source."""
     found = rules.judged(table(spark, folder, "documents"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
+
+
+@query
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes along the Hilbert curve."""
+    found = sharding.shards(table(spark, folder, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
+@query
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.packed(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json")).withColumnRenamed("key", "doc_id")
