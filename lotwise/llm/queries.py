@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import chat, packing, rules, sharding, simhash
+from lotwise.llm import chat, decontaminate, packing, rules, sharding, simhash, substrings
 from lotwise.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,45 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.packed(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json")).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stretch of a document within a fifth of the words' edits of a benchmark item."""
+    found = decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages that stand in an earlier document or place, as spans of the original texts."""
+    found = substrings.passages(table(spark, folder, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"), "start", "stop", "n_words", "n_units", F.col("kept_key").alias("kept_doc_id"), "kept_start",
+    )
+
+
+ORACLES["op2_substring_dedup"] = rf"""
+WITH cut AS (
+  SELECT doc_id, unnest(found) AS unit, generate_subscripts(found, 1) AS no
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^
+.?]+[.?]*|[.?]+|
+') AS found FROM documents WHERE text IS NOT NULL)
+), placed AS (
+  SELECT doc_id, unit, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY no) - length(unit) AS start,
+    [w FOR w IN regexp_split_to_array(lower(unit), '\s+') IF w <> ''] AS words
+  FROM cut
+), units AS (
+  SELECT doc_id, start, start + length(unit) AS stop, len(words) AS n_words, array_to_string(words, ' ') AS unit,
+    row_number() OVER (PARTITION BY doc_id ORDER BY start) AS place
+  FROM placed WHERE len(words) >= {substrings.UNIT_WORDS}
+), met AS (
+  SELECT *, first_value(doc_id) OVER own AS kept_doc_id, first_value(start) OVER own AS kept_start, row_number() OVER own AS nth
+  FROM units WINDOW own AS (PARTITION BY unit ORDER BY doc_id, place)
+), runs AS (
+  SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM met WHERE nth > 1
+)
+SELECT doc_id, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop, sum(n_words)::BIGINT AS n_words, count(*) AS n_units,
+  arg_min(kept_doc_id, place) AS kept_doc_id, arg_min(kept_start, place)::BIGINT AS kept_start
+FROM runs GROUP BY doc_id, run HAVING sum(n_words) >= {substrings.LEAST_WORDS}
+"""
