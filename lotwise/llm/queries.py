@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import chat, decontaminate, packing, rules, sharding, simhash, substrings
-from lotwise.llm.frames import table
+from lotwise.llm import (
+    chat, decontaminate, htmltext, packing, quality, rules, sharding, simhash, substrings, toxicity, training,
+)
+from lotwise.llm.frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +141,34 @@ SELECT doc_id, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop, sum(n_wor
   arg_min(kept_doc_id, place) AS kept_doc_id, arg_min(kept_start, place)::BIGINT AS kept_start
 FROM runs GROUP BY doc_id, run HAVING sum(n_words) >= {substrings.LEAST_WORDS}
 """
+
+
+@query
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = htmltext.extracted(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by clauses, learned from labelled documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    sample = training.labelled_sample(docs, table(spark, folder, "labels"), "toxic")
+    found = toxicity.scored(docs, *toxicity.model(sample))
+    return found.select(
+        F.col("key").alias("doc_id"), F.coalesce(held_out(F.col("key")), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses",
+    )
+
+
+@query
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from labelled documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    sample = training.labelled_sample(docs, table(spark, folder, "labels"), "quality")
+    found = quality.scored(docs, quality.fit(sample))
+    return found.select(
+        F.col("key").alias("doc_id"), F.coalesce(held_out(F.col("key")), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
