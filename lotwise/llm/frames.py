@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.session import checkpoint
+from lotwise.session import checkpoint, checkpoint_folder
 
 BROADCAST_ROWS = 100_000
 
@@ -55,3 +57,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """``frame`` written as Parquet to the shared folder and read again: its lineage ends there."""
+    path = f"{checkpoint_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -30,6 +30,7 @@ from lotwise.llm.frames import components, small_or_not
 from lotwise.session import checkpoint
 
 CELL = 4096
+MATRIX = 1024
 SHINGLES_AT_ONCE = 1 << 15
 SEED = 42
 
@@ -88,7 +89,7 @@ def grid(rows: int, radius: int, width: int, recall: float | None = None, simila
     """
     segments = 32 * width
     bits = math.log2(16 / 6)  # of information in the count of a random segment
-    wanted = max(1.0, math.log2(max(rows, 2) / 8))
+    wanted = max(1.0, math.log2(max(rows, 2) / (8 if recall is None else 128)))
     if recall is None:
         groups = next((g for g in range(radius + 1, radius + 5) if bits * segments * (g - radius) / g >= wanted), radius + 4)
         members = [range(segments)[g::groups] for g in range(groups)]
@@ -136,6 +137,18 @@ def forest(found: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def cell_pairs(words: np.ndarray, codes: np.ndarray, radius: int) -> np.ndarray:
+    """Links of one cell: all of them while they are few, else a spanning forest."""
+    n = len(words)
+    if n <= MATRIX:
+        near = sum(np.bitwise_count(codes[:, None, k] ^ codes[None, :, k]).astype(np.uint8) for k in range(codes.shape[1]))
+        a, b = np.nonzero(np.triu(near <= radius, 1))
+        if len(a) <= 8 * n:
+            real = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= radius
+            return np.stack([a[real], b[real]], axis=1)
+    return np.array(forest(words, radius), np.int64).reshape(-1, 2)
+
+
 def cell_links(batches: Iterator[pa.RecordBatch], radius: int, width: int) -> Iterator[pa.RecordBatch]:
     """Links of all cells of a sorted partition (cell, part, fid, words); a cell may span batches."""
     kept: list[np.ndarray] | None = None
@@ -154,11 +167,9 @@ def cell_links(batches: Iterator[pa.RecordBatch], radius: int, width: int) -> It
                 a.append(fid[near + i])
                 b.append(fid[near + j])
         for k in np.flatnonzero(sizes > 8):
-            links = forest(words[starts[k]:ends[k]], radius)
-            if links:
-                pairs = np.array(links) + starts[k]
-                a.append(fid[pairs[:, 0]])
-                b.append(fid[pairs[:, 1]])
+            pairs = cell_pairs(words[starts[k]:ends[k]], codes[starts[k]:ends[k]], radius) + starts[k]
+            a.append(fid[pairs[:, 0]])
+            b.append(fid[pairs[:, 1]])
         none = np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
 
@@ -225,3 +236,19 @@ def near_duplicates(
     smallest = joined.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component"))
     classes = joined.join(smallest, F.col("root") == F.col("r")).select(*words, "component")
     return marked.join(classes, words)
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each class of near duplicates: that of the smallest key.
+
+    Rows without a key stay. Rows equal in key and text are one document, and one of them stays.
+    """
+    marked = checkpoint(near_duplicates(docs, key=key, text=text, **options).select("key", "component"))
+    gone = marked.where("key <> component").select(F.col("key").alias("gone")).distinct()
+    repeated = checkpoint(marked.groupBy("key").count().where("key IS NOT NULL AND count > 1").select(F.col("key").alias("again")))
+    kept = docs.join(small_or_not(gone), docs[key].cast("long") == F.col("gone"), "left_anti")
+    if repeated.isEmpty():
+        return kept
+    few = small_or_not(repeated)
+    once = kept.join(few, kept[key].cast("long") == F.col("again"), "left_anti")
+    return once.unionByName(kept.join(few, kept[key].cast("long") == F.col("again"), "left_semi").dropDuplicates([key, text]))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.arrays import slices
+from lotwise.llm.frames import small_or_not
 from lotwise.session import checkpoint
 
 UNIT_WORDS = 4
@@ -112,6 +113,6 @@ def removed(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id"
         F.struct(*(docs[c] for c in names)).alias("row"), docs[key].cast("long").alias("row_key"),
         docs[text].cast("string").alias("row_text"),
     ).withColumn("row_copy", copy_of("row_text"))
-    met = packed.join(cuts, F.col("row_key").eqNullSafe(F.col("key")) & (F.col("row_copy") == F.col("copy")), "left")
+    met = packed.join(small_or_not(cuts), F.col("row_key").eqNullSafe(F.col("key")) & (F.col("row_copy") == F.col("copy")), "left")
     done = met.select("row", without("row_text", "cuts").alias("new_text"))
     return done.select(*(F.col("new_text").alias(c) if c == text else F.col("row")[c].alias(c) for c in names))
