@@ -43,8 +43,6 @@ def let(value: Column, use) -> Column:
 
 def repeated_words(words: Column) -> Column:
     """Words inside windows of five words that the text holds twice or more, first included."""
-    last = F.size(words) - WINDOW
-
     def windows(w: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(0), F.size(w) - WINDOW),
@@ -70,10 +68,14 @@ def repeated_words(words: Column) -> Column:
             F.lit(0), lambda a, x: a + x,
         )
 
-    counted = let(windows(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
-        let(F.array_sort(places(h)), covered)
-    ))
-    return F.when(last >= 1, counted).otherwise(F.lit(0)).cast("long")
+    def counted(w: Column) -> Column:
+        covering = let(windows(w), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
+            let(F.array_sort(places(h)), covered)
+        ))
+        return F.when(F.size(w) > WINDOW, covering).otherwise(F.lit(0))
+
+    # the words are bound once: a filter on the result may be pushed below the split that makes them
+    return let(words, counted).cast("long")
 
 
 def measured(docs: DataFrame, repeats: bool) -> DataFrame:
