@@ -246,9 +246,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     marked = checkpoint(near_duplicates(docs, key=key, text=text, **options).select("key", "component"))
     gone = marked.where("key <> component").select(F.col("key").alias("gone")).distinct()
     repeated = checkpoint(marked.groupBy("key").count().where("key IS NOT NULL AND count > 1").select(F.col("key").alias("again")))
-    kept = docs.join(small_or_not(gone), docs[key].cast("long") == F.col("gone"), "left_anti")
+    gone = small_or_not(gone)
+    kept = docs.join(gone, docs[key].cast("long") == gone["gone"], "left_anti")
     if repeated.isEmpty():
         return kept
     few = small_or_not(repeated)
-    once = kept.join(few, kept[key].cast("long") == F.col("again"), "left_anti")
-    return once.unionByName(kept.join(few, kept[key].cast("long") == F.col("again"), "left_semi").dropDuplicates([key, text]))
+    twice = kept[key].cast("long") == few["again"]
+    return kept.join(few, twice, "left_anti").unionByName(kept.join(few, twice, "left_semi").dropDuplicates([key, text]))
