@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lotwise.llm.arrays import slices
 from lotwise.llm.frames import small_or_not
@@ -40,11 +41,9 @@ def units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             rows: list[tuple] = []
-            for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if not t:
-                    continue
-                own, place = xxhash.xxh3_64_intdigest(t) - (1 << 63), 0
-                for m in find(t):
+            for k, own, t in zip(*(c.to_pylist() for c in part.columns)):
+                place = 0
+                for m in find(t or ""):
                     words = m.group().lower().split()
                     if len(words) >= UNIT_WORDS:
                         d = xxhash.xxh3_128_intdigest(" ".join(words))
@@ -54,7 +53,8 @@ def units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
     names = ["key", "copy", "place", "start", "stop", "n_words", "d0", "d1"]
-    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"))
+    body = docs[text].cast("string")
+    rows = docs.select(docs[key].cast("long").alias("key"), F.xxhash64(body).alias("copy"), body.alias("text"))
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
@@ -90,29 +90,26 @@ def removed(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id"
         F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts")
     ))
 
-    @F.pandas_udf("long")
-    def copy_of(texts):
-        return texts.map(lambda t: xxhash.xxh3_64_intdigest(t) - (1 << 63) if t else 0)
+    def cut(t: str | None, spans: list[dict] | None) -> str | None:
+        if not spans:
+            return t
+        kept, at = [], 0
+        for s in spans:
+            kept.append(t[at:s["start"]])
+            at = s["stop"]
+        return "".join([*kept, t[at:]])
 
-    @F.pandas_udf("string")
-    def without(texts, cuts):
-        import pandas as pd
-
-        def cut(t, spans):
-            if t is None or spans is None or not len(spans):
-                return t
-            out, at = [], 0
-            for s in spans:
-                out.append(t[at:s["start"]])
-                at = s["stop"]
-            return "".join([*out, t[at:]])
-
-        return pd.Series([cut(t, s) for t, s in zip(texts, cuts)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            texts = [cut(t, s) for t, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
+    body = docs[text].cast("string")
     packed = docs.select(
         F.struct(*(docs[c] for c in names)).alias("row"), docs[key].cast("long").alias("row_key"),
-        docs[text].cast("string").alias("row_text"),
-    ).withColumn("row_copy", copy_of("row_text"))
+        F.xxhash64(body).alias("row_copy"), body.alias("text"),
+    )
     met = packed.join(small_or_not(cuts), F.col("row_key").eqNullSafe(F.col("key")) & (F.col("row_copy") == F.col("copy")), "left")
-    done = met.select("row", without("row_text", "cuts").alias("new_text"))
-    return done.select(*(F.col("new_text").alias(c) if c == text else F.col("row")[c].alias(c) for c in names))
+    kinds = StructType([StructField("row", packed.schema["row"].dataType), StructField("text", StringType())])
+    done = met.select("row", "text", "cuts").mapInArrow(run, kinds)
+    return done.select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in names))
