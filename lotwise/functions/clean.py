@@ -138,13 +138,12 @@ PLAIN_NUMBER = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
 
 def to_number(c: Column, dtype: DataType | None = None) -> Column:
-    """Strict numeric coercion; anything that is not a plain number is NULL."""
-    if isinstance(dtype, NumericType):
-        value = c.cast("double")
-        return F.when(~F.isnan(value), value)
-    if dtype is not None and not isinstance(dtype, StringType):
+    """Strict numeric coercion; anything that is not a plain finite number is NULL."""
+    if dtype is not None and not isinstance(dtype, (NumericType, StringType)):
         return c.try_cast("double")
-    return F.when(c.cast("string").rlike(PLAIN_NUMBER), c.try_cast("double"))
+    value = c.cast("double") if isinstance(dtype, NumericType) else F.when(
+        c.cast("string").rlike(PLAIN_NUMBER), c.try_cast("double"))
+    return F.when(F.abs(value) < F.lit(float("inf")), value)  # NaN is above infinity here
 
 
 def nan_to_null(c: Column) -> Column:

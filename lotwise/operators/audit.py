@@ -13,6 +13,7 @@ from lotwise.functions.formats import percent
 from lotwise.operators.quantiles import column_quantiles
 from lotwise.operators.reshape import field_type, to_long
 from lotwise.operators.stats import distinct_facts, is_numeric, pair_correlations, three_values
+from lotwise.session import checkpoint
 
 LEAKAGE_CORRELATION = 0.95
 COLLINEAR_CORRELATION = 0.85
@@ -46,10 +47,8 @@ def sample_size_guidance(df: DataFrame) -> DataFrame:
     n = F.col("batch_count")
     return df.agg(F.count("*").alias("batch_count")).select(
         "batch_count",
-        F.when(n < 10, "very small: plots and descriptive checks only")
-        .when(n < 30, "small: exploration and cautious model checks")
-        .when(n < 80, "moderate: latent-variable and forest models with careful validation")
-        .otherwise("larger: advanced tree models and attributions are reasonable too").alias("guidance"),
+        F.when(n < 10, "under_10").when(n < 30, "under_30").when(n < 80, "under_80")
+        .otherwise("80_or_more").alias("guidance"),
     )
 
 
@@ -247,7 +246,7 @@ def audit_warnings(
 
 def run_audit(df: DataFrame, columns: Sequence[str], outcomes: Sequence[str]) -> Audit:
     """All audit tables; frequencies are shared, quantiles and pairs are one pass each."""
-    facts = distinct_facts(df, columns).persist()
+    facts = checkpoint(distinct_facts(df, columns))  # a row per column, read by several tables
     guidance = sample_size_guidance(df)
     by_name = leakage_names(df.sparkSession, columns, outcomes)
     by_value = leakage_correlations(df, columns, outcomes)

@@ -37,11 +37,13 @@ def order_value(df: DataFrame, column: str, dates_need_share: bool = True) -> Co
     return F.lit(None).cast("double")
 
 
-def ordered_outcome(df: DataFrame, outcome: str, order_by: str, key: str = "batch_id") -> DataFrame:
-    """``key, order_value, outcome_value`` of rows that have both."""
+def ordered_outcome(
+    df: DataFrame, outcome: str, order_by: str, key: str = "batch_id", keep: Sequence[str] = (),
+) -> DataFrame:
+    """``key, order_value, outcome_value`` of rows that have both, and the columns ``keep``, e.g. a colour."""
     return df.select(
         key, order_value(df, order_by, dates_need_share=False).alias("order_value"),
-        number_column(df, outcome).alias("outcome_value"),
+        number_column(df, outcome).alias("outcome_value"), *keep,
     ).dropna(subset=["order_value", "outcome_value"])
 
 
@@ -89,11 +91,12 @@ def variable_with_zone(
     )
 
 
-def margin_bars(summary: DataFrame, top: int = 20) -> DataFrame:
-    """Limits rows with the largest share outside (a chart of ``top`` bars)."""
-    return summary.select(
+def margin_bars(summary: DataFrame, top: int | None = None) -> DataFrame:
+    """Limits rows by their share outside, the largest first; all, or a chart of ``top`` bars."""
+    rows = summary.select(
         "variable", "role", "percent_outside", "percent_close_to_limit", "classification"
-    ).orderBy(F.desc("percent_outside"), "variable").limit(top)
+    ).orderBy(F.desc("percent_outside"), "variable")
+    return rows if top is None else rows.limit(top)
 
 
 def distribution_lines(df: DataFrame, column: str, limits: DataFrame | None = None) -> DataFrame:
@@ -113,11 +116,12 @@ def distribution_lines(df: DataFrame, column: str, limits: DataFrame | None = No
     return lines.filter(F.col("value").isNotNull())
 
 
-def top_loadings(loadings: DataFrame, top: int = 25) -> DataFrame:
+def top_loadings(loadings: DataFrame, top: int | None = None) -> DataFrame:
     """Features farthest from the origin on the first two components."""
     wide = loadings.groupBy("feature", "process_variable").pivot("component", ["PC1", "PC2"]).agg(F.first("loading"))
     distance = F.hypot(F.coalesce("PC1", F.lit(0.0)), F.coalesce("PC2", F.lit(0.0)))
-    return wide.withColumn("distance", distance).orderBy(F.desc("distance"), "feature").limit(top)
+    rows = wide.withColumn("distance", distance).orderBy(F.desc("distance"), "feature")
+    return rows if top is None else rows.limit(top)
 
 
 def stacked_scores(ranked: DataFrame) -> DataFrame:

@@ -50,11 +50,20 @@ def _number(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double") if isinstance(field_type(df, c), BooleanType) else number_column(df, c)
 
 
-def fit_features(df: DataFrame, columns: Sequence[str]) -> FeatureState:
+def check_width(width: int, most: int) -> None:
+    if width > most:
+        raise InputError(
+            f"{width} encoded features are more than {most}, whose matrices the driver holds; "
+            "leave out columns of many levels or raise most_features"
+        )
+
+
+def fit_features(df: DataFrame, columns: Sequence[str], most_features: int = MOST_FEATURES) -> FeatureState:
     """Exact medians, modes and all levels; a few jobs whatever the column count."""
     if not columns:
         raise InputError("at least one process column is needed")
     numeric = [c for c in columns if _numeric(df, c)]
+    check_width(len(numeric), most_features)
     texts = [c for c in columns if c not in numeric]
     medians = {c: 0.0 for c in numeric}
     if numeric:
@@ -63,11 +72,7 @@ def fit_features(df: DataFrame, columns: Sequence[str]) -> FeatureState:
     modes, levels = {c: MISSING_LEVEL for c in texts}, {c: [] for c in texts}
     if texts:
         facts = distinct_facts(df, texts).collect()
-        width = sum(r.unique_count for r in facts)
-        if width + len(numeric) > MOST_FEATURES:
-            raise InputError(
-                f"{width} levels in the text columns are too many to encode; leave out the high-cardinality ones"
-            )
+        check_width(len(numeric) + sum(r.unique_count for r in facts), most_features)
         modes |= {r.variable: r.top_value for r in facts if r.top_value is not None}
         for r in value_frequencies(df, texts).select("variable", "value").collect():  # checked above
             levels[r.variable].append(r.value)
@@ -133,6 +138,14 @@ def modelling_rows(df: DataFrame, outcome: str, output: str = "label") -> DataFr
     return df.withColumn(output, number_column(df, outcome)).filter(F.col(output).isNotNull())
 
 
+def enough_rows(df: DataFrame, outcome: str, least: int = 3) -> DataFrame:
+    """Modelling rows, of which a model needs at least three."""
+    rows = modelling_rows(df, outcome)
+    if rows.limit(least).count() < least:
+        raise InputError(f"{outcome}: fewer than {least} rows with a numeric value")
+    return rows
+
+
 def fold_of(key: str, folds: int, seed: int = 42) -> Column:
     """Fold number from the key alone, so it does not depend on partitioning."""
     return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(folds)).cast("int")

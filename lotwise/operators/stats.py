@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
+from lotwise.operators.blocks import block_rows, summed_blocks
 from lotwise.operators.reshape import field_type, number_column, to_long
 
 # Wider tables switch from one wide aggregate to the long form, because very
 # wide aggregates outgrow a generated method and fall back to interpretation.
 WIDE_LIMIT = 60
-PAIR_LIMIT = 40
 
 
 def is_numeric(df: DataFrame, column: str) -> bool:
@@ -37,8 +37,10 @@ def column_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ]
 
     if len(columns) > WIDE_LIMIT:
-        long = to_long(df, columns)
-        return long.groupBy("variable").agg(*facts(F.col("value")))
+        found = to_long(df, columns).groupBy("variable").agg(*facts(F.col("value")))
+        names = df.sparkSession.createDataFrame([(c,) for c in columns], "variable string")
+        counts = ["row_count", "count", "missing_count"]
+        return names.join(F.broadcast(found), "variable", "left").fillna(0, counts).select(found.columns)
     cells = [
         F.struct(F.lit(c).alias("variable"), *facts(number_column(df, c))) for c in columns
     ]
@@ -95,26 +97,11 @@ def distinct_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 PAIR_SCHEMA = "first string, second string, n bigint, correlation double"
 
 
-def _narrow_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    cells = []
-    for a, b in pairs:
-        x, y = number_column(df, a), number_column(df, b)
-        both = x.isNotNull() & y.isNotNull()
-        cx, cy = F.when(both, x), F.when(both, y)
-        r = F.try_divide(F.covar_samp(cx, cy), F.stddev_samp(cx) * F.stddev_samp(cy))
-        cells.append(F.struct(
-            F.lit(a).alias("first"), F.lit(b).alias("second"),
-            F.count_if(both).alias("n"), r.alias("correlation"),
-        ))
-    return df.agg(F.array(*cells).alias("pairs")).select(F.inline("pairs"))
-
-
-def _moment_blocks(columns: list[str], centre: np.ndarray):
-    """Task function: pairwise-complete sums of products of one partition."""
-    size = len(columns)
+def _pair_sums(size: int, centre: np.ndarray):
+    """Task function: pairwise-complete sums of products of one task."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((5, size, size))
+        total = np.zeros((4, size, size))
         for batch in batches:
             block = np.column_stack([
                 batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(size)
@@ -126,40 +113,27 @@ def _moment_blocks(columns: list[str], centre: np.ndarray):
             total[1] += block.T @ mask              # sum of i where j is present
             total[2] += (block * block).T @ mask    # squares of i where j is present
             total[3] += block.T @ block
-        i, j = np.triu_indices(size, 1)
-        yield pa.RecordBatch.from_pydict({
-            "i": i.astype(np.int32), "j": j.astype(np.int32),
-            "n": total[0][i, j], "sx": total[1][i, j], "sy": total[1][j, i],
-            "sxx": total[2][i, j], "syy": total[2][j, i], "sxy": total[3][i, j],
-        })
+        yield block_rows({"all": total})
 
     return sums
 
 
-def _wide_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairs of many columns through matrix products, one pass per task."""
+def _all_correlations(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and Pearson r of all pairs through matrix products, in one pass."""
     columns = list(columns)
+    size = len(columns)
     means = {r.variable: r.mean for r in column_facts(df, columns).select("variable", "mean").collect()}
     centre = np.array([means[c] if means[c] is not None else 0.0 for c in columns])
     numbers = df.select(*[number_column(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    parts = numbers.mapInArrow(
-        _moment_blocks(columns, centre),
-        "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double",
-    )
-    sums = parts.groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-    )
-    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
-    var_x = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
-    var_y = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
-    # what is left of the squares after centring must exceed rounding noise
-    safe = (var_x > 1e-12 * F.col("sxx")) & (var_y > 1e-12 * F.col("syy"))
-    names = F.array(*[F.lit(c) for c in columns])
-    return sums.select(
-        F.get(names, F.col("i")).alias("first"), F.get(names, F.col("j")).alias("second"),
-        F.col("n").cast("bigint").alias("n"),
-        F.when(safe, F.try_divide(cov, F.sqrt(var_x * var_y))).alias("correlation"),
-    )
+    found = summed_blocks(numbers, _pair_sums(size, centre))
+    n, one, square, product = found.get("all", np.zeros(4 * size * size)).reshape(4, size, size)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = product - one * one.T / n
+        spread = square - one * one / n
+        # what is left of the squares after centring must exceed rounding noise
+        safe = (spread > 1e-12 * square) & (spread.T > 1e-12 * square.T)
+        r = np.where(safe, cov / np.sqrt(spread * spread.T), np.nan)
+    return n.astype(np.int64), r
 
 
 def pair_correlations(
@@ -176,19 +150,14 @@ def pair_correlations(
         pairs = [(a, b) for a in columns for b in others]
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    if len(pairs) <= PAIR_LIMIT:
-        return _narrow_correlations(df, pairs)
-    everything = _wide_correlations(df, list(dict.fromkeys([*columns, *(others or [])])))
-    if others is None:
-        return everything
-    wanted, outcome = list(columns), list(others)
-    turned = F.col("first").isin(outcome) & F.col("second").isin(wanted)
-    straight = F.col("first").isin(wanted) & F.col("second").isin(outcome)
-    return everything.filter(turned | straight).select(
-        F.when(straight, F.col("first")).otherwise(F.col("second")).alias("first"),
-        F.when(straight, F.col("second")).otherwise(F.col("first")).alias("second"),
-        "n", "correlation",
-    )
+    names = list(dict.fromkeys([*columns, *(others or [])]))
+    place = {c: i for i, c in enumerate(names)}
+    n, r = _all_correlations(df, names)
+    rows = [
+        (a, b, int(n[place[a], place[b]]), None if np.isnan(r[place[a], place[b]]) else float(r[place[a], place[b]]))
+        for a, b in pairs
+    ]
+    return df.sparkSession.createDataFrame(rows, PAIR_SCHEMA)
 
 
 def three_values(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> set[tuple[str, str]]:
@@ -250,14 +219,14 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     )
 
 
-def distinct_levels(df: DataFrame, columns: Sequence[str], most: int = 30) -> DataFrame:
+def distinct_levels(df: DataFrame, columns: Sequence[str], most: int | None = None) -> DataFrame:
     """Sorted distinct levels per column: ``variable, position, level``.
 
-    ``most`` is the length of the list shown per variable; the limit reaches
-    the rows before they are shuffled for the ranking.
+    All levels, or ``most`` per variable; that limit reaches the rows before
+    they are shuffled for the ranking.
     """
     levels = value_frequencies(df, columns).select("variable", F.col("value").alias("level"))
     order = Window.partitionBy("variable").orderBy("level")
     return levels.withColumn("position", F.row_number().over(order)).filter(
-        F.col("position") <= most
+        F.lit(True) if most is None else F.col("position") <= most
     ).select("variable", F.col("position").cast("bigint").alias("position"), "level")

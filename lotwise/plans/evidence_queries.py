@@ -23,7 +23,7 @@ OUTCOME = "yield_amount"
 SELECT 'yield_amount' AS outcome, variable, variable || '=' || level AS level_label, position, count, round(mean, 6) AS mean,
        round(delta, 6) AS delta_from_overall_mean FROM d WHERE position <= 4""")
 def evd_level_effects(spark, folder):
-    return rounded(evidence.level_effects(views.merged(spark, folder), LEVEL_VARIABLES, OUTCOME), 6)
+    return rounded(evidence.level_effects(views.merged(spark, folder), LEVEL_VARIABLES, OUTCOME, top=4), 6)
 
 
 def _bins(variable: str) -> str:
@@ -140,7 +140,7 @@ SELECT 'yield_amount' AS outcome, first_variable, second_variable, round(first_h
 @query(INTERACTIONS_SQL)
 def evd_interactions(spark, folder):
     return rounded(evidence.interactions(
-        views.measures(spark, folder), ["sum_quantity", "line_count", "avg_quantity"], OUTCOME), 6)
+        views.measures(spark, folder), ["sum_quantity", "line_count", "avg_quantity"], OUTCOME, top=4), 6)
 
 
 @query(f"""WITH {MERGED_SQL}, l AS (""" + " UNION ALL ".join(
@@ -148,7 +148,7 @@ def evd_interactions(spark, folder):
   SELECT variable, row_number() OVER (PARTITION BY variable ORDER BY level) AS position, level FROM l)
 SELECT * FROM n WHERE position <= 30""")
 def evd_levels(spark, folder):
-    return stats.distinct_levels(views.merged(spark, folder), LEVEL_VARIABLES)
+    return stats.distinct_levels(views.merged(spark, folder), LEVEL_VARIABLES, most=30)
 
 
 # --- ordered series ---------------------------------------------------------------
@@ -198,6 +198,13 @@ def cht_ordered_outcome(spark, folder):
     return charts.ordered_outcome(views.merged(spark, folder), "yield_amount", "order_date")
 
 
+@query(f"""WITH {MERGED_SQL}
+SELECT "Batch ID" AS batch_id, CAST(epoch_us(CAST(order_date AS TIMESTAMP)) AS DOUBLE) AS order_value,
+       yield_amount AS outcome_value, order_status FROM merged""")
+def cht_coloured_outcome(spark, folder):
+    return charts.ordered_outcome(views.merged(spark, folder), "yield_amount", "order_date", keep=["order_status"])
+
+
 @query(f"""WITH {MERGED_SQL}, r AS (
   SELECT *, row_number() OVER (ORDER BY order_date, "Batch ID") AS nr, count(*) OVER () AS n FROM merged),
 s AS (SELECT *, nr > n - least(greatest(8, round_even(n * 0.2, 0)), n - 10) AS is_test FROM r)

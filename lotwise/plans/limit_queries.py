@@ -73,6 +73,11 @@ def spc_summary(spark, folder):
     return rounded(_check(spark, folder).summary.drop("reason", "priority"), 6)
 
 
+@query(f"""WITH {SUMMARY_SQL} SELECT classification, count(*) AS variable_count FROM labelled GROUP BY 1""")
+def agg_label_counts(spark, folder):
+    return limits.label_counts(_check(spark, folder).summary)
+
+
 @query(f"""WITH {SUMMARY_SQL}, scores AS (
   SELECT variable, CASE WHEN corr(value, y) >= 0 THEN 0.9e0 ELSE 0.1e0 END AS score FROM zoned
   WHERE variable <> 'l_extendedprice' GROUP BY variable

@@ -11,6 +11,7 @@ from lotwise.operators.limits import LIMIT_SCHEMA
 from lotwise.plans import views, workflow
 from lotwise.plans.registry import query
 from lotwise.plans.views import MEASURES_SQL, MERGED_SQL
+from lotwise.session import checkpoint
 
 PREPARED = ["order_status", "balance_reading", "priority_rank"]
 PLANTED = ["line_count", "sum_quantity", "avg_tax"]
@@ -88,6 +89,17 @@ def mod_pca_scores(spark, folder):
         "batch_id", F.abs("PC1").alias("first_size"), F.abs("PC2").alias("second_size")), 6)
 
 
+@query(f"""WITH {MEASURES_SQL}, s AS (
+  SELECT avg(sum_quantity) AS m, stddev_pop(sum_quantity) AS d, avg(line_count) AS lm, stddev_pop(line_count) AS ld FROM measures)
+SELECT batch_id, round(abs((sum_quantity - m) / d + (line_count - lm) / ld) / sqrt(2), 6) AS first_size,
+       round(yield_amount, 6) AS outcome_value FROM measures, s""")
+def cht_scores_outcome(spark, folder):
+    """Component scores beside an outcome."""
+    data = views.measures(spark, folder)
+    scores = latent.principal_components(data, ["sum_quantity", "line_count"]).scores(data, outcome="yield_amount")
+    return rounded(scores.select("batch_id", F.abs("PC1").alias("first_size"), "outcome_value"), 6)
+
+
 def _pls_sql() -> str:
     z = {c: f"({c} - avg_{c}) / dev_{c}" for c in PLANTED}
     facts = ", ".join(f"avg({c}) AS avg_{c}, stddev_pop({c}) AS dev_{c}" for c in PLANTED)
@@ -213,7 +225,9 @@ def mod_oob(spark, folder):
     data = process_and_measures(spark, folder)
     rows = features.modelling_rows(data, "yield_amount")
     encoded = features.encode(rows, features.fit_features(rows, MIXED)).select("batch_id", "label", "features").persist()
-    return spark.createDataFrame([(trees.out_of_bag_r2(encoded, "batch_id", FOREST),)], "oob_r2 double")
+    score = trees.out_of_bag_r2(encoded, "batch_id", FOREST)
+    encoded.unpersist()
+    return spark.createDataFrame([(score,)], "oob_r2 double")
 
 
 @query()
@@ -234,7 +248,8 @@ def mod_ranked_drivers(spark, folder):
 
 def _evidence(spark, folder):
     data = process_and_measures(spark, folder).select(
-        "batch_id", "order_date", *MIXED, "yield_amount", "discount_residual").persist()
+        "batch_id", "order_date", *MIXED, "yield_amount", "discount_residual")
+    data = checkpoint(data)
     outcomes = ["yield_amount", "discount_residual"]
     prof = profile.build_profile(data, outcomes)
     checks = audit.run_audit(data, prof.process_columns, outcomes)

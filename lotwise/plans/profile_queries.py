@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from lotwise.functions import names
 from lotwise.functions.formats import rounded
 from lotwise.operators import audit, profile, stats
 from lotwise.plans import views
-from lotwise.plans.registry import query
+from lotwise.plans.registry import ORACLES, query
 from lotwise.plans.views import MEASURES, MEASURES_SQL, MERGED_SQL, OUTCOMES, PROCESS_COLUMNS
 
 TEXTS = ["order_status", "order_priority", "supplier_segment", "site_nation", "order_date", "site_flag"]
@@ -96,10 +97,8 @@ def agg_histogram(spark, folder):
 # --- audit ------------------------------------------------------------------
 
 @query(f"""WITH {MERGED_SQL}
-SELECT count(*) AS batch_count, CASE WHEN count(*) < 10 THEN 'very small: plots and descriptive checks only'
-       WHEN count(*) < 30 THEN 'small: exploration and cautious model checks'
-       WHEN count(*) < 80 THEN 'moderate: latent-variable and forest models with careful validation'
-       ELSE 'larger: advanced tree models and attributions are reasonable too' END AS guidance FROM merged""")
+SELECT count(*) AS batch_count, CASE WHEN count(*) < 10 THEN 'under_10' WHEN count(*) < 30 THEN 'under_30'
+       WHEN count(*) < 80 THEN 'under_80' ELSE '80_or_more' END AS guidance FROM merged""")
 def aud_sample_size(spark, folder):
     return audit.sample_size_guidance(views.merged(spark, folder))
 
@@ -130,7 +129,7 @@ def aud_collinear(spark, folder):
 SELECT first_column AS "first", second_column AS "second", n, round(c, 6) AS correlation FROM r""")
 def agg_correlations(spark, folder):
     """The matrix form, which wide tables use, on the same pairs."""
-    return rounded(stats._wide_correlations(views.measures(spark, folder), MEASURES), 6)
+    return rounded(stats.pair_correlations(views.measures(spark, folder), MEASURES), 6)
 
 
 @query(f"""WITH {MERGED_SQL}
@@ -170,23 +169,60 @@ def aud_row_missing(spark, folder):
 OUTLIER_COLUMNS = ["account_balance", "priority_rank", *OUTCOMES]
 
 
-@query(f"WITH {MERGED_SQL}, v AS (" + _union(
-    "SELECT '{c}' AS variable, {c} AS value FROM merged", OUTLIER_COLUMNS) + """), q AS (
+def _outliers_sql(columns: list[str]) -> str:
+    return f"WITH {MERGED_SQL}, v AS (" + _union(
+        "SELECT '{c}' AS variable, {c} AS value FROM merged", columns) + """), q AS (
   SELECT variable, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b, count(DISTINCT value) AS d,
          count(value) AS n FROM v GROUP BY 1
 ), f AS (SELECT variable, n, a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM q WHERE b > a AND d >= 4)
 SELECT variable AS "column", count(*) AS outlier_count, round(100.0::DOUBLE * count(*) / any_value(n), 6) AS outlier_percent,
        round(any_value(lo), 6) AS lower_flag_limit, round(any_value(hi), 6) AS upper_flag_limit
-FROM v JOIN f USING (variable) WHERE value < lo OR value > hi GROUP BY 1""")
+FROM v JOIN f USING (variable) WHERE value < lo OR value > hi GROUP BY 1"""
+
+
+@query(_outliers_sql(OUTLIER_COLUMNS))
 def aud_outliers(spark, folder):
     return rounded(audit.outliers(views.merged(spark, folder), OUTLIER_COLUMNS), 6)
 
 
-@query()
+def _strong_pairs(pairs: list[tuple[str, str]], least: float) -> str:
+    return "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS c FROM merged" for a, b in pairs
+    ) + f") WHERE n >= 8 AND abs(c) >= {least}"
+
+
+_WORDS = ", ".join(f"('{w}')" for w in names.LEAKAGE_WORDS)
+_COLUMNS = ", ".join(f"('{c}')" for c in PROCESS_COLUMNS)
+HITS_SQL = f"""WITH {MERGED_SQL}, hits AS (
+  SELECT 1 AS seq, 'leakage_names' AS code, 'leakage_name_count' AS metric, count(*) AS n,
+         'process column name(s) hint at post-release information.' AS text
+  FROM (VALUES {_COLUMNS}) c(name) WHERE EXISTS (SELECT 1 FROM (VALUES {_WORDS}) w(word) WHERE contains(name, word))
+  UNION ALL SELECT 2, 'leakage_correlations', 'leakage_correlation_count', count(*), 'feature and outcome pair(s) are nearly identical.'
+  FROM ({_strong_pairs([(a, b) for a in NUMBERS for b in OUTCOMES], 0.95)})
+  UNION ALL SELECT 3, 'drift', 'drift_column_count', count(*), 'column(s) may encode time, sequence or campaign.' FROM ({ORACLES["aud_date_fraction"]})
+  UNION ALL SELECT 4, 'many_levels', 'many_level_count', count(*), 'categorical column(s) have many levels.' FROM ({ORACLES["aud_cardinality"]})
+  UNION ALL SELECT 5, 'confounding', 'confounding_count', count(*), 'categorical column(s) may be confounded with time or practice.'
+  FROM ({ORACLES["aud_confounding"]})
+  UNION ALL SELECT 7, 'outliers', 'outlier_column_count', count(*), 'numeric column(s) hold outliers; review, do not drop.'
+  FROM ({_outliers_sql(NUMBERS + list(OUTCOMES))})
+  UNION ALL SELECT 8, 'collinear', 'collinear_pair_count', count(*), 'process variable pair(s) are highly correlated.'
+  FROM ({_strong_pairs([(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1:]], 0.85)})
+), gaps AS ({ORACLES["aud_row_missing"]}), warned AS (
+  SELECT CAST(seq AS INTEGER) AS seq, code, n || ' ' || text AS message FROM hits WHERE n > 0
+  UNION ALL SELECT 6, 'row_missing', printf('%.1f%% of rows miss at least one selected field.', percent) FROM gaps
+  WHERE metric = 'rows_with_any_missing_selected_field' AND percent > 20
+  UNION ALL SELECT 0, 'sample_size', CASE WHEN count(*) < 30 THEN 'Fewer than 30 batches: results are exploratory.'
+    ELSE 'Fewer than 80 batches: advanced models may overfit.' END FROM merged HAVING count(*) < 80
+)"""
+
+
+@query(f"{HITS_SQL} SELECT * FROM warned")
 def aud_warnings(spark, folder):
     return audit.run_audit(views.merged(spark, folder), PROCESS_COLUMNS, OUTCOMES).warnings
 
 
-@query()
+@query(f"""{HITS_SQL} SELECT metric, n AS value FROM hits
+UNION ALL SELECT 'warning_count', count(*) FROM warned UNION ALL SELECT 'batch_count', count(*) FROM merged
+UNION ALL SELECT metric, count FROM gaps WHERE metric <> 'rows_with_missing_process_field'""")
 def aud_summary(spark, folder):
     return audit.audit_summary(audit.run_audit(views.merged(spark, folder), PROCESS_COLUMNS, OUTCOMES))

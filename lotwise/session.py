@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from lotwise.errors import InputError
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the few runtime options that results or plans depend on."""
@@ -15,16 +17,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def local_master(master: str) -> bool:
+    """One machine and one process: ``local`` or ``local[n]``, not ``local-cluster``."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """Shared folder for cut lineage and small model files.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where none is set, as
-    in tests on one machine, a temporary one is made.
+    The cluster names it in ``spark.checkpoint.dir``. Where none is set, a
+    temporary one is made on a local master; on a cluster that is an error, since
+    executors do not see the driver's folders.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not shared and not local_master(context.master):
+            raise InputError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 

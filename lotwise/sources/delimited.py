@@ -27,12 +27,16 @@ FLOAT_TEXT = r"(?i)^[+-]?(\d[\d_]*\.?\d*([e][+-]?\d+)?|\.\d+([e][+-]?\d+)?|inf|i
 RECORD = r'((?:[^"\r\n]++|"(?:[^"]++|"")*+")++)'
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str], multiline: bool = False) -> DataFrame:
+def read_lines(
+    spark: SparkSession, paths: str | Sequence[str], multiline: bool = False, check_quotes: bool = True,
+) -> DataFrame:
     """Non-blank lines as ``file, later_block, position, line``.
 
     ``position`` grows within the first block of a file, which is all that the
     header search needs. ``multiline`` reads each file whole, for exports with
-    line breaks inside quotes; use it for small files only.
+    line breaks inside quotes; use it for small files only. Otherwise a line with
+    an open quote, which a line break inside quotes leaves, stops the job; pass
+    ``check_quotes=False`` where quotes are plain characters, such as inch marks.
     """
     if multiline:
         texts = spark.read.text(paths, wholetext=True).select(
@@ -42,6 +46,10 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str], multiline: bool
         F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") > 0).alias("later_block"),
         F.monotonically_increasing_id().alias("position"), F.regexp_replace("value", r"^﻿|\r$", "").alias("line"),
     )
+    if check_quotes:
+        bare = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+        message = F.concat(F.lit("a quote stays open in a line of "), "file", F.lit(": read it with multiline=True"))
+        lines = lines.withColumn("line", F.when(bare % 2 == 0, F.col("line")).otherwise(F.raise_error(message)))
     return lines.filter(trim_all(F.col("line")) != "")
 
 
@@ -93,9 +101,9 @@ def header_score(cells: Column) -> Column:
     return F.when(n == 0, F.lit(-1.0)).otherwise(n + 2.0 * unique + texts + words)
 
 
-def suggest_headers(lines: DataFrame, delimiter: str = ",") -> DataFrame:
-    """Best header row per file; of equal scores the earliest row wins."""
-    scored = preview(lines).withColumn("score", header_score(cells_of(F.col("line"), delimiter)))
+def suggest_headers(lines: DataFrame, delimiter: str = ",", search_rows: int = PREVIEW_ROWS) -> DataFrame:
+    """Best of the first ``search_rows`` rows per file; of equal scores the earliest row wins."""
+    scored = preview(lines, search_rows).withColumn("score", header_score(cells_of(F.col("line"), delimiter)))
     best = F.max_by(F.struct("row", "position", "line", "score"), F.struct(F.col("score"), -F.col("row")))
     return scored.groupBy("file").agg(best.alias("b")).select(
         "file", F.col("b.row").alias("header_row"), F.col("b.score").alias("score"),
@@ -110,17 +118,20 @@ def fixed_headers(lines: DataFrame, header_row: int) -> DataFrame:
     )
 
 
-def load(lines: DataFrame, headers: DataFrame, delimiter: str = ",", keep_file: bool = False) -> DataFrame:
+def load(
+    lines: DataFrame, headers: DataFrame, delimiter: str = ",", keep_file: bool = False, most_layouts: int = 1000,
+) -> DataFrame:
     """All data rows below the headers, every column as text.
 
     Files with the same header are read together; files with different headers
-    are united by column name.
+    are united by column name. Each layout is a branch of the plan, hence
+    ``most_layouts``.
     """
-    layouts = [r.line for r in headers.select("line").distinct().limit(1001).collect()]
+    layouts = [r.line for r in headers.select("line").distinct().limit(most_layouts + 1).collect()]
     if not layouts:
         raise InputError("no header row was found")
-    if len(layouts) > 1000:
-        raise InputError("more than 1000 different headers: check the header row")
+    if len(layouts) > most_layouts:
+        raise InputError(f"more than {most_layouts} different headers: check the header row or raise most_layouts")
     heads = headers.select("file", F.col("position").alias("__from"), F.col("line").alias("__header"))
     body = lines.join(heads, "file").filter(F.col("later_block") | (F.col("position") > F.col("__from")))
     result = None
@@ -138,9 +149,10 @@ def load(lines: DataFrame, headers: DataFrame, delimiter: str = ",", keep_file:
 
 def read_delimited(
     spark: SparkSession, paths: str | Sequence[str], header_row: int | None = 0,
-    delimiter: str = ",", multiline: bool = False, keep_file: bool = False,
+    delimiter: str = ",", multiline: bool = False, keep_file: bool = False, search_rows: int = PREVIEW_ROWS,
+    check_quotes: bool = True,
 ) -> DataFrame:
-    """Read exports; ``header_row=None`` finds the header of each file."""
-    lines = read_lines(spark, paths, multiline)
-    headers = suggest_headers(lines, delimiter) if header_row is None else fixed_headers(lines, header_row)
+    """Read exports; ``header_row=None`` finds the header of each file in its first ``search_rows`` rows."""
+    lines = read_lines(spark, paths, multiline, check_quotes)
+    headers = suggest_headers(lines, delimiter, search_rows) if header_row is None else fixed_headers(lines, header_row)
     return load(lines, headers, delimiter, keep_file)

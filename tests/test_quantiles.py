@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lotwise.operators import ordering, quantiles, stats
+from lotwise.operators import blocks, ordering, quantiles, stats
 
 MARKS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
@@ -61,27 +61,49 @@ def test_row_numbers(spark):
     assert got.equals(got.sort_values(["o", "id"]).reset_index(drop=True))
 
 
-def test_wide_and_narrow_correlations_agree(spark):
+@pytest.mark.parametrize("width", [5, 10])  # 10 and 45 pairs
+def test_correlations_equal_pandas(spark, width):
     rng = np.random.default_rng(5)
-    local = pd.DataFrame(rng.normal(size=(500, 4)) + 1e6, columns=list("abcd"))
+    names = list("abcdfghij")[:width - 1]
+    local = pd.DataFrame(rng.normal(size=(500, width - 1)) + 1e6, columns=names)
     local["b"] += local["a"]
     local.loc[::7, "b"] = np.nan
     local["e"] = 3.0
-    df = spark.createDataFrame(local.astype(object).where(local.notna(), None),
-                               ", ".join(f"{c} double" for c in local))
+    rows = local.astype(object).where(local.notna(), None)
+    rows.loc[3, "a"] = float("inf")  # counts as missing
+    local.loc[3, "a"] = np.nan
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in local))
     columns = list(local)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    narrow = {(r[0], r[1]): (r[2], r[3]) for r in stats._narrow_correlations(df, pairs).collect()}
-    wide = {(r[0], r[1]): (r[2], r[3]) for r in stats._wide_correlations(df, columns).collect()}
+    got = {(r[0], r[1]): (r[2], r[3]) for r in stats.pair_correlations(df, columns).collect()}
     expected = local.corr()
-    assert set(narrow) == set(wide) == set(pairs)
-    for pair in pairs:
-        n, r = narrow[pair]
-        assert wide[pair][0] == n
-        if "e" in pair:
-            assert r is None and wide[pair][1] is None
-        else:
-            assert abs(r - expected.loc[pair]) < 1e-9 and abs(wide[pair][1] - r) < 1e-6
+    assert set(got) == set(pairs)
+    for a, b in pairs:
+        n, r = got[a, b]
+        assert n == local[[a, b]].dropna().shape[0]
+        assert r is None if "e" in (a, b) else abs(r - expected.loc[a, b]) < 1e-7
+    turned = stats.pair_correlations(df, ["b"], ["a", "c"]).collect()
+    assert [(r[0], r[1]) for r in turned] == [("b", "a"), ("b", "c")]
+    assert {(r[2], r[3]) for r in stats.pair_correlations(df.limit(0), columns).collect()} == {(0, None)}
+
+
+@pytest.mark.parametrize("width", [60, 61])
+def test_facts_have_a_row_for_every_column(spark, width):
+    names = [f"c{i}" for i in range(width)]
+    df = spark.createDataFrame([tuple(float(i) for i in range(width))], ", ".join(f"{c} double" for c in names))
+    got = {r.variable: (r.row_count, r["count"], r.missing_count, r["mean"]) for r in stats.column_facts(df, names).collect()}
+    assert got == {c: (1, 1, 0, float(i)) for i, c in enumerate(names)}
+    empty = stats.column_facts(df.limit(0), names).collect()
+    assert {(r.row_count, r["count"], r.missing_count, r["mean"]) for r in empty} == {(0, 0, 0, None)} and len(empty) == width
+
+
+def test_blocks_are_added_by_part(spark):
+    def ones(batches):
+        n = sum(b.num_rows for b in batches)
+        yield blocks.block_rows({"a": np.full(3, n), "b": np.full(2, 2.0 * n)})
+
+    got = blocks.summed_blocks(spark.range(0, 1000, 1, 40).toDF("id"), ones)
+    assert got["a"].tolist() == [1000.0] * 3 and got["b"].tolist() == [2000.0] * 2
 
 
 def test_histogram_keeps_empty_bins(spark):

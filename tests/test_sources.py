@@ -40,6 +40,21 @@ def test_line_breaks_in_quotes(spark, tmp_path):
     assert [r.Note for r in rows] == ["two\nlines", "one"]
 
 
+def test_open_quotes_are_refused_line_by_line(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('Batch,Note\nB1,"two\nlines"\nB2,one\n')
+    with pytest.raises(Exception, match="multiline=True"):
+        delimited.read_delimited(spark, str(tmp_path / "x.csv")).collect()
+    (tmp_path / "y.csv").write_text('Batch,Size\nB1,5" pipe\n')
+    rows = delimited.read_delimited(spark, str(tmp_path / "y.csv"), check_quotes=False).collect()
+    assert rows[0].Batch == "B1"
+
+
+def test_header_search_length(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("".join(f"title {i}\n" for i in range(21)) + "Batch ID,Result,Test\nB1,2,3\n")
+    got = delimited.read_delimited(spark, str(tmp_path / "x.csv"), None, search_rows=30).collect()
+    assert [tuple(r) for r in got] == [("B1", "2", "3")]
+
+
 def test_header_scores(spark):
     df = spark.createDataFrame([(["Batch ID", "Result"],), (["1,5", "2"],), (["", " "],)], "c array<string>")
     scores = [r.s for r in df.select(delimited.header_score(F.col("c")).alias("s")).collect()]
