@@ -233,8 +233,11 @@ def near_duplicates(
     masks = grid(distinct.count(), radius, width, recall, similarity)
     roots = components(links(distinct, radius, width, masks))
     joined = distinct.join(roots, distinct["fid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fid"))
-    smallest = joined.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component"))
-    classes = joined.join(smallest, F.col("root") == F.col("r")).select(*words, "component")
+    # held on its own, so that the join on a large component's root can be split
+    smallest = checkpoint(joined.where("node IS NOT NULL").groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least")))
+    classes = joined.join(small_or_not(smallest), F.col("root") == F.col("r"), "left").select(
+        *words, F.coalesce("least", "first").alias("component")
+    )
     return marked.join(classes, words)
 
 
