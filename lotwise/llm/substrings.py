@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from lotwise.llm.arrays import slices
-from lotwise.llm.frames import small_or_not
+from lotwise.llm.frames import BROADCAST_ROWS
 from lotwise.session import checkpoint
 
 UNIT_WORDS = 4
-LEAST_WORDS = 8
+LEAST_WORDS = 20  # shorter repeats are phrases, headings and licence lines that clean texts share
 UNIT = r"[^\n.?]+[.?]*|[.?]+"
 
 
@@ -86,9 +86,10 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id
 def removed(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the passages cut out of ``text``; all rows and columns stay."""
     names = docs.columns
-    cuts = checkpoint(passages(docs, least_words, key, text).groupBy("key", "copy").agg(
-        F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts")
-    ))
+    found = checkpoint(passages(docs, least_words, key, text).select("key", "copy", "start", "stop"))
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # of spans, so their bytes are bounded too
+    cuts = found.groupBy("key", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    cuts = F.broadcast(cuts) if few else cuts
 
     def cut(t: str | None, spans: list[dict] | None) -> str | None:
         if not spans:
@@ -109,7 +110,7 @@ def removed(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id"
         F.struct(*(docs[c] for c in names)).alias("row"), docs[key].cast("long").alias("row_key"),
         F.xxhash64(body).alias("row_copy"), body.alias("text"),
     )
-    met = packed.join(small_or_not(cuts), F.col("row_key").eqNullSafe(F.col("key")) & (F.col("row_copy") == F.col("copy")), "left")
+    met = packed.join(cuts, F.col("row_key").eqNullSafe(F.col("key")) & (F.col("row_copy") == F.col("copy")), "left")
     kinds = StructType([StructField("row", packed.schema["row"].dataType), StructField("text", StringType())])
     done = met.select("row", "text", "cuts").mapInArrow(run, kinds)
     return done.select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in names))
