@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm import decontaminate, packing, rules, simhash, substrings
-from lotwise.llm.frames import stored, table
+from lotwise.llm.frames import small_or_not, stored, table
 from lotwise.llm.queries import vocabulary
+from lotwise.session import checkpoint
 
 # Five-word shingles, 128 bits: documents of similarity 0.8 differ in 19.4 bits on average,
 # unrelated ones in 64.
@@ -40,8 +41,35 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no benchmark item, nor the rest of one that a cut passage was a part of.
+
+    So the texts as read are searched too. A document goes if one of its id holds an item, it has
+    been cut from that one (shorter, and no word besides) and three words in a row of the item stay.
+    """
+    items = table(spark, sf_dir, "benchmark")
+    read = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("read_id"), F.col("text").cast("string").alias("read_text"))
+    spans = checkpoint(
+        decontaminate.matches(read, items, "read_id", "read_text").where("key IS NOT NULL")
+        .select(F.col("key").alias("held_id"), F.col("start").alias("held_start"), F.col("stop").alias("held_stop")).distinct()
+    )
+    ids = small_or_not(spans.select(F.col("held_id").alias("id")).distinct())
+    words = lambda c: F.array_remove(F.split(F.lower(c), r"[\s.?]+"), "")
+    stretch = words(F.substring("read_text", F.col("held_start") + 1, F.col("held_stop") - F.col("held_start")))
+    held = read.join(spans, F.col("read_id") == F.col("held_id")).select(
+        "read_id", "read_text", stretch.alias("stretch")
+    ).distinct()
+    own = F.col("doc_id").cast("long")
+    now = F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" "))
+    grams = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("stretch") - 2, F.lit(1))), lambda i: F.array_join(F.slice("stretch", i, 3), " ")
+    )
+    rest = (
+        (own == F.col("read_id")) & (F.length("text") < F.length("read_text"))
+        & (F.size(F.array_except(words(F.col("text")), words(F.col("read_text")))) == 0)
+        & F.exists(grams, lambda g: F.contains(now, F.concat(F.lit(" "), g, F.lit(" "))))
+    )
+    doubtful = docs.join(ids, own == ids["id"], "left_semi").join(held, rest, "left_anti")
+    return decontaminate.clean(docs.join(ids, own == ids["id"], "left_anti").unionByName(doubtful), items)
 
 
 def packing_plan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

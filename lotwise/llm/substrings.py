@@ -3,8 +3,9 @@
 A unit is a run of text up to a full stop or question mark, or a line; units of fewer than
 ``UNIT_WORDS`` words stand for nothing of their own. A unit is normalised (lower case, one space
 between words) and hashed to 128 bits. Of equal units the one of the smallest (rank, key, place)
-is kept. Adjacent repeated units form a passage, with the short units between them; a passage of
-at least ``least_words`` words is removed. Offsets are code points of the original text.
+is kept. Adjacent repeated units form a passage, with the short units between them; every passage
+is removed, unless a higher ``least_words`` is asked for. ``removed`` also cuts each later copy of
+a whole line, of any length. Offsets are code points of the original text.
 
 Rows: a null text has no units; ties go by key (nulls last) and place; rows equal in key and
 text count as one document, so each keeps what the document keeps; an empty table gives an empty
@@ -27,16 +28,17 @@ from lotwise.llm.frames import BROADCAST_ROWS
 from lotwise.session import checkpoint
 
 UNIT_WORDS = 4
-LEAST_WORDS = 20  # shorter repeats are phrases, headings and licence lines that clean texts share
+LEAST_WORDS = UNIT_WORDS  # every repeated unit; ask for more to keep phrases or licence lines
 UNIT = r"[^\n.?]+[.?]*|[.?]+"
+LINE = r"[^\n]+"
 
 
-def units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def units(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = UNIT, least: int = UNIT_WORDS) -> DataFrame:
     """(key, copy, place, start, stop, n_words, d0, d1): the units long enough, numbered in each row.
 
     ``copy`` is a hash of the text, so that different rows of one key stay apart.
     """
-    find = re.compile(UNIT).finditer
+    find = re.compile(pattern).finditer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -45,7 +47,7 @@ def units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 place = 0
                 for m in find(t or ""):
                     words = m.group().lower().split()
-                    if len(words) >= UNIT_WORDS:
+                    if len(words) >= least:
                         d = xxhash.xxh3_128_intdigest(" ".join(words))
                         rows.append((k, own, place, m.start(), m.end(), len(words), (d >> 64) - (1 << 63), (d & 0xFFFFFFFFFFFFFFFF) - (1 << 63)))
                         place += 1
@@ -58,13 +60,17 @@ def units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def passages(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def passages(
+    docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text",
+    pattern: str = UNIT, least: int = UNIT_WORDS,
+) -> DataFrame:
     """(key, copy, start, stop, n_words, n_units, kept_key, kept_start): the passages to remove.
 
     ``kept_key`` and ``kept_start`` tell where the first unit of the passage stays. Keys order
-    the documents; pass a rank as ``key`` for another order.
+    the documents; pass a rank as ``key`` for another order. ``pattern`` and ``least`` tell what a
+    unit is and how many words it has at least.
     """
-    found = units(docs, key, text)
+    found = units(docs, key, text, pattern, least)
     at = F.struct(F.col("key").isNull().alias("none"), "key", "copy", "place")
     first = found.groupBy("d0", "d1").agg(
         F.min(F.struct(at.alias("at"), F.col("start").alias("start"))).alias("first"), F.count("*").alias("n")
@@ -84,9 +90,14 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id
 
 
 def removed(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the passages cut out of ``text``; all rows and columns stay."""
+    """``docs`` with passages and later copies of whole lines cut out of ``text``; all rows and columns stay.
+
+    With a ``least_words`` of more than ``LEAST_WORDS``, shorter lines stay as well.
+    """
     names = docs.columns
-    found = checkpoint(passages(docs, least_words, key, text).select("key", "copy", "start", "stop"))
+    line_words = 1 if least_words <= LEAST_WORDS else least_words
+    both = passages(docs, least_words, key, text).union(passages(docs, line_words, key, text, LINE, 1))
+    found = checkpoint(both.select("key", "copy", "start", "stop").distinct())
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # of spans, so their bytes are bounded too
     cuts = found.groupBy("key", "copy").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
     cuts = F.broadcast(cuts) if few else cuts
@@ -96,8 +107,8 @@ def removed(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id"
             return t
         kept, at = [], 0
         for s in spans:
-            kept.append(t[at:s["start"]])
-            at = s["stop"]
+            kept.append(t[at:s["start"]])  # nothing where spans overlap
+            at = max(at, s["stop"])
         return "".join([*kept, t[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

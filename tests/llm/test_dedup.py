@@ -152,6 +152,21 @@ def test_repeated_rows_keep_what_the_document_keeps(spark):
     assert got == {None: 30}
 
 
+def test_later_copies_of_lines_go_whatever_their_length(spark):
+    nine, five, made = words(9, 21), words(5, 22), "Ba ke. Lo mi. Tu ran."
+    texts = [(k, f"{words(12, 700 + k)} x\n{nine}\n{five}\nall rights\n{words(12, 720 + k)} y\nEnd\n{made}") for k in range(3)]
+    texts += [(5, f"Lo mi. {words(12, 740)}"), (6, f"{words(12, 741)}. Ba ke.")]
+    docs = frame(spark, texts)
+    got = sorted((r["key"], r["n_words"]) for r in substrings.passages(docs).collect())
+    assert got == [(1, 14), (2, 14)]
+    cut = {r["doc_id"]: r["text"] for r in substrings.removed(docs).collect()}
+    assert cut[0] == texts[0][1] and cut[5] == texts[3][1] and cut[6] == texts[4][1]  # lines are copied, not short sentences
+    for k in (1, 2):
+        assert [x for x in cut[k].split("\n") if x] == [words(12, 700 + k) + " x", words(12, 720 + k) + " y"]
+    kept = {r["doc_id"]: r["text"] for r in substrings.removed(docs, least_words=20).collect()}
+    assert kept == dict(texts)  # phrases and licence lines stay where that is asked for
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
