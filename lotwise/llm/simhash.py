@@ -59,16 +59,20 @@ def bits_of(text: bytes, shingle: int, width: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, f0, f1, ...): one row per row of ``docs``, fingerprint words as signed longs."""
+    """(key, copy, f0, f1, ...): one row per row of ``docs``, fingerprint words as signed longs.
+
+    ``copy`` is a hash of the text, so that different rows of one key stay apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            found = [bits_of((t or "").encode(), shingle, width) for t in part.column(1).to_pylist()]
+            found = [bits_of((t or "").encode(), shingle, width) for t in part.column(2).to_pylist()]
             words = np.array(found, np.uint64).reshape(-1, width).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(words[:, k].copy()) for k in range(width))], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(words[:, k].copy()) for k in range(width))], names)
 
-    names = ["key", *(f"f{k}" for k in range(width))]
-    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"))
+    names = ["key", "copy", *(f"f{k}" for k in range(width))]
+    body = docs[text].cast("string")
+    rows = docs.select(docs[key].cast("long").alias("key"), F.xxhash64(body).alias("copy"), body.alias("text"))
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
@@ -220,7 +224,9 @@ def near_duplicates(
     docs: DataFrame, shingle: int = 4, radius: int = 4, width: int = 1, recall: float | None = None,
     similarity: float = 0.8, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """(key, f0.., component): ``component`` is the smallest key reachable over links.
+    """(key, copy, f0.., root, component): ``component`` is the smallest key reachable over links.
+
+    ``root`` names the class; two classes have one component where rows of one key differ.
 
     ``radius`` is the most bits of ``64 * width`` that linked fingerprints differ in. See
     ``grid`` for ``recall``. Rows with a null key have a fingerprint and take part, but a null
@@ -236,7 +242,7 @@ def near_duplicates(
     # held on its own, so that the join on a large component's root can be split
     smallest = checkpoint(joined.where("node IS NOT NULL").groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least")))
     classes = joined.join(small_or_not(smallest), F.col("root") == F.col("r"), "left").select(
-        *words, F.coalesce("least", "first").alias("component")
+        *words, "root", F.coalesce("least", "first").alias("component")
     )
     return marked.join(classes, words)
 
@@ -245,12 +251,19 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     """``docs`` with one document of each class of near duplicates: that of the smallest key.
 
     Rows without a key stay. Rows equal in key and text are one document, and one of them stays.
+    Rows of one key with other texts are other documents, each judged by its own class; of those
+    in one class the one of the smallest text hash stays.
     """
-    marked = checkpoint(near_duplicates(docs, key=key, text=text, **options).select("key", "component"))
-    gone = marked.where("key <> component").select(F.col("key").alias("gone")).distinct()
+    marked = checkpoint(near_duplicates(docs, key=key, text=text, **options).select("key", "copy", "root", "component"))
+    first = marked.where("key = component").select("root", "key", "copy").distinct()
+    least = first.groupBy(F.col("root").alias("r")).agg(F.min("copy").alias("least"), F.count("*").alias("n")).where("n > 1")
+    more = first.join(small_or_not(checkpoint(least)), F.col("root") == F.col("r")).where("copy <> least")
+    gone = marked.where("key <> component").select("key", "copy").union(more.select("key", "copy"))
+    gone = checkpoint(gone.select(F.col("key").alias("gone"), F.col("copy").alias("gone_copy")).distinct())
     repeated = checkpoint(marked.groupBy("key").count().where("key IS NOT NULL AND count > 1").select(F.col("key").alias("again")))
     gone = small_or_not(gone)
-    kept = docs.join(gone, docs[key].cast("long") == gone["gone"], "left_anti")
+    own = (docs[key].cast("long") == gone["gone"]) & (F.xxhash64(docs[text].cast("string")) == gone["gone_copy"])
+    kept = docs.join(gone, own, "left_anti")
     if repeated.isEmpty():
         return kept
     few = small_or_not(repeated)

@@ -107,6 +107,16 @@ def test_one_of_each_keeps_columns_and_odd_rows(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_key_are_judged_by_their_own_text(spark):
+    one, two = words(200, 801), words(200, 802).split()
+    first = " ".join(two)
+    two[90] = "changed"
+    texts = [(1, one), (3, one), (3, words(200, 803)), (3, words(200, 804)), (3, None), (8, first), (8, " ".join(two)), (9, words(200, 803))]
+    kept = simhash.one_of_each(frame(spark, texts), shingle=5, width=2, radius=24, recall=0.95).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3, 3, 3, 8]
+    assert {r["text"] for r in kept if r["doc_id"] == 3} == {words(200, 803), words(200, 804), None}
+
+
 def passages_by_hand(texts):
     seen, out = {}, []
     units = []
