@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm import (
-    chat, decontaminate, htmltext, packing, quality, rules, sharding, simhash, substrings, toxicity, training,
+    chat, decontaminate, htmltext, negatives, packing, quality, rules, sharding, simhash, substrings, topk, toxicity, training,
 )
 from lotwise.llm.frames import held_out, table
 
@@ -172,3 +172,50 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
         F.col("key").alias("doc_id"), F.coalesce(held_out(F.col("key")), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every positive of every hundredth vector."""
+    rows = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(rows.withColumn("label", label))
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH held AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS alike, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM held a JOIN held b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, positive_id, (row_number() OVER own)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT alike
+  AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW own AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER own <= 5
+"""
+
+
+@query
+def op13_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The five vectors of highest inner product for every fiftieth vector."""
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
+ORACLES["op13_topk_search"] = """
+WITH held AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+)
+SELECT q.vec_id AS query_id, (row_number() OVER own)::INT AS rank, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+FROM held q JOIN held c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+WINDOW own AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id)
+QUALIFY row_number() OVER own <= 5
+"""
