@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm import (
-    chat, decontaminate, htmltext, negatives, packing, quality, rules, sharding, simhash, substrings, topk, toxicity, training,
+    chat, decontaminate, htmltext, merkle, negatives, packing, quality, rules, sharding, simhash, substrings, topk, toxicity, training,
 )
 from lotwise.llm.frames import held_out, table
 
@@ -203,6 +204,76 @@ QUALIFY row_number() OVER own <= 5
 """
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Merkle manifest of all documents by language, and what tampering with some texts does to the root."""
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ["doc_id", "source", "lang", "n_chars"]]
+    upper = string.ascii_uppercase
+    changed = merkle.digest([*fields, F.translate("text", upper, upper.lower())])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, changed)
+    found = merkle.manifest(docs, [*fields, F.col("text")], F.col("lang"), F.col("doc_id"), held=tampered)
+    back = merkle.folded(F.coalesce("held", "leaf"), F.col("proof"))
+    return found.select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join(merkle.siblings(F.col("proof")), ""), 256).alias("proof_sha256"),
+        back.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+_BITS = "list_reduce(list_concat([xor({0}, {1})], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+_CRC = f"xor(list_reduce(list_concat([4294967295], [ascii(c) FOR c IN string_split(doc_id::VARCHAR, '')]), lambda a, b: {_BITS.format('a', 'b')}), 4294967295)"
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, {_leaf('text')} AS leaf,
+    CASE WHEN {_CRC} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (ORDER BY lang, doc_id, leaf) AS id
+  FROM hashed
+), nodes(lang, level, pos, digest, n) AS (
+  SELECT lang, 0, pos, leaf, n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8
+  FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 8, n
+), subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), above(level, pos, digest, n) AS (
+  SELECT 0, pos, subroot, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM above WHERE n > 1 GROUP BY level, pos // 8, n
+), others AS (
+  SELECT id, 0 AS part, level, o.pos, digest FROM leaves l JOIN nodes o ON o.lang IS NOT DISTINCT FROM l.lang AND o.n > 1
+    AND o.pos // 8 = l.pos // (8 ** (level + 1))::BIGINT AND o.pos <> l.pos // (8 ** level)::BIGINT
+  UNION ALL
+  SELECT id, 1, level, o.pos, digest FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN above o ON o.n > 1
+    AND o.pos // 8 = s.pos // (8 ** (level + 1))::BIGINT AND o.pos <> s.pos // (8 ** level)::BIGINT
+), proofs AS (
+  SELECT id, sha256(string_agg(digest, '' ORDER BY part, level, pos)) AS proof_sha256 FROM others GROUP BY id
+), low(id, lang, level, pos, own) AS (
+  SELECT id, lang, 0, pos, coalesce(tampered, leaf) FROM leaves
+  UNION ALL
+  SELECT id, f.lang, f.level + 1, f.pos // 8, sha256(string_agg(CASE WHEN o.pos = f.pos THEN own ELSE digest END, '' ORDER BY o.pos))
+  FROM low f JOIN nodes o ON o.lang IS NOT DISTINCT FROM f.lang AND o.level = f.level AND o.n > 1 AND o.pos // 8 = f.pos // 8
+  GROUP BY id, f.lang, f.level, f.pos
+), high(id, level, pos, own) AS (
+  SELECT id, 0, s.pos, arg_max(own, level) FROM low f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang GROUP BY id, s.pos
+  UNION ALL
+  SELECT id, f.level + 1, f.pos // 8, sha256(string_agg(CASE WHEN o.pos = f.pos THEN own ELSE digest END, '' ORDER BY o.pos))
+  FROM high f JOIN above o ON o.level = f.level AND o.n > 1 AND o.pos // 8 = f.pos // 8 GROUP BY id, f.level, f.pos
+), back AS (SELECT id, arg_max(own, level) AS folded_root FROM high GROUP BY id)
+SELECT doc_id, leaf, subroot, a.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = a.digest AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN back USING (id) LEFT JOIN proofs USING (id)
+JOIN above a ON a.n = 1
+"""
+
+
 @query
 def op13_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     """The five vectors of highest inner product for every fiftieth vector."""
