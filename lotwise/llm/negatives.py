@@ -43,8 +43,9 @@ class Packed:
         self.width = (2 * self.bound).bit_length()
         self.big = self.width > WORD or rows.dtype == object
         self.fields = BIG_FIELDS if self.big else WORD // self.width
-        filled = np.pad(rows, ((0, -len(rows) % self.fields), (0, 0)), constant_values=-self.shift) + self.shift
-        filled = filled.astype(object if self.big else np.int64).reshape(-1, self.fields, rows.shape[1])
+        filled = np.zeros((len(rows) + -len(rows) % self.fields, rows.shape[1]), object if self.big else np.int64)
+        filled[:len(rows)] = rows.astype(filled.dtype) + self.shift
+        filled = filled.reshape(-1, self.fields, rows.shape[1])
         packed = filled[:, 0]
         for k in range(1, self.fields):
             packed = packed + filled[:, k] * (1 << k * self.width)

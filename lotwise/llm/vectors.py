@@ -135,7 +135,7 @@ def column(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
 
 def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     width = max(a.shape[1], b.shape[1])
-    return tuple(np.pad(x, ((0, 0), (0, width - x.shape[1]))) if x.shape[1] < width else x for x in (a, b))
+    return tuple(np.hstack([x, np.zeros((len(x), width - x.shape[1]), x.dtype)]) if x.shape[1] < width else x for x in (a, b))
 
 
 def as_longs(scores: np.ndarray) -> np.ndarray:
