@@ -87,12 +87,12 @@ class Block:
         held = self.packed.get(label)
         if held is None or held.most < most or held.packed.shape[0] != anchors.shape[1]:
             held = self.packed[label] = Packed(rows if label is None else rows[self.members(label)], 1 << most.bit_length())
-        return held.scores(anchors)
+        return as_longs(held.scores(anchors))
 
 
 def rows_of(aids, marks, block: Block, cols: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(aids), pa.array(marks, pa.int64()), pa.array(block.cid[cols]), pa.array(as_longs(scores)), pa.array(block.least[cols])],
+        [pa.array(aids), pa.array(marks, pa.int64()), pa.array(block.cid[cols]), pa.array(scores), pa.array(block.least[cols])],
         ["aid", "mark", "cid", "score", "least"])
 
 
@@ -109,7 +109,7 @@ def best_alike(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.Rec
             n = min(first, len(own))
             # members stand in the order of their least key: one number ranks score, then key
             high = max(abs(int(found.max())), abs(int(found.min())))
-            ranked = -(found.astype(object if high * len(own) >= 1 << 62 else found.dtype) * len(own)) + np.arange(len(own))
+            ranked = -(found.astype(object if high * len(own) >= 1 << 62 else np.int64) * len(own)) + np.arange(len(own))
             at = np.argpartition(ranked, n - 1, axis=1)[:, :n]
             scores = np.take_along_axis(found, at, axis=1).ravel()
             yield rows_of(np.repeat(aids[mine], n), np.zeros(len(mine) * n, np.int64), block, own[at.ravel()], scores)
@@ -120,20 +120,20 @@ def best_unlike(batches: Iterator[pa.RecordBatch], first: int, low: int, high: i
     for block, part in visits(batches, Block):
         aids, labels, marks = column(part, "cid").to_numpy(), column(part, "label").to_numpy(), column(part, "marks").to_pylist()
         scores = block.scores(matrix(column(part, "q")))
-        kind = object if scores.dtype == object or max(abs(v) for m in marks for v in m) >= 1 << 53 else np.int64
         deep = max(map(len, marks))
-        wanted = np.array([m + m[-1:] * (deep - len(m)) for m in marks], kind)  # the last one repeated
-        floor, roof = -(-(low * wanted) // high), wanted
+        marks = [m + m[-1:] * (deep - len(m)) for m in marks]  # the last one repeated
+        # of whole scores; no product leaves the range of a long
+        floor, roof = np.array([[-(-low * v // high) for v in m] for m in marks], np.int64), np.array(marks, np.int64)
         row, col = np.nonzero((scores >= floor.min(axis=1)[:, None]) & (scores <= roof.max(axis=1)[:, None]) & (block.label[None, :] != labels[:, None]))
         value = scores[row, col]
-        order = np.lexsort((col, -as_longs(value), row))
+        order = np.lexsort((col, -value, row))
         row, col, value = row[order], col[order], value[order]
         for t in range(deep):
-            fits = (value >= floor[row, t]) & (value <= roof[row, t]) & (t < np.array([len(m) for m in marks])[row])
+            fits = (value >= floor[row, t]) & (value <= roof[row, t]) & ((t == 0) | (roof[:, t] != roof[:, t - 1]))[row]
             r, c, v = row[fits], col[fits], value[fits]
             nth = np.arange(len(r)) - np.searchsorted(r, r)
             keep = nth < first
-            yield rows_of(aids[r[keep]], as_longs(wanted[r[keep], t]), block, c[keep], v[keep])
+            yield rows_of(aids[r[keep]], roof[r[keep], t], block, c[keep], v[keep])
 
 
 def merged(found: DataFrame, by: list[str], rows: DataFrame, keep: int, name: str) -> DataFrame:
