@@ -17,8 +17,7 @@ PREPARED = ["order_status", "balance_reading", "priority_rank"]
 PLANTED = ["line_count", "sum_quantity", "avg_tax"]
 MIXED = ["order_status", "supplier_segment", "balance_reading", "line_count", "sum_quantity", "avg_tax"]
 
-# Lighter than the library defaults, since every query scores whole tables.
-FOREST = trees.ForestSettings(trees=12, depth=7, bags=3, repeats=2)
+# Lighter than the library defaults.
 BOOST = trees.BoostSettings(iterations=8, rate=0.3, depth=4)
 
 
@@ -217,17 +216,14 @@ def mod_pca(spark, folder):
 @query()
 def mod_forest(spark, folder):
     return trees.random_forest(
-        process_and_measures(spark, folder), MIXED, "yield_amount", FOREST, with_oob=False).variables
+        process_and_measures(spark, folder), MIXED, "yield_amount").variables
 
 
 @query()
 def mod_oob(spark, folder):
-    data = process_and_measures(spark, folder)
-    rows = features.modelling_rows(data, "yield_amount")
-    encoded = features.encode(rows, features.fit_features(rows, MIXED)).select("batch_id", "label", "features").persist()
-    score = trees.out_of_bag_r2(encoded, "batch_id", FOREST)
-    encoded.unpersist()
-    return spark.createDataFrame([(score,)], "oob_r2 double")
+    """Out-of-bag score of the default forest beside its training score."""
+    model = trees.random_forest(process_and_measures(spark, folder), MIXED, "yield_amount")
+    return spark.createDataFrame([(model.oob_r2, model.training_r2, model.rows)], "oob_r2 double, training_r2 double, row_count long")
 
 
 @query()
@@ -243,7 +239,7 @@ def mod_attribution(spark, folder):
 @query()
 def mod_ranked_drivers(spark, folder):
     return workflow.rank_drivers(
-        process_and_measures(spark, folder), MIXED, ["yield_amount", "discount_residual"], settings=FOREST).ranked
+        process_and_measures(spark, folder), MIXED, ["yield_amount", "discount_residual"]).ranked
 
 
 def _evidence(spark, folder):
@@ -254,7 +250,7 @@ def _evidence(spark, folder):
     prof = profile.build_profile(data, outcomes)
     checks = audit.run_audit(data, prof.process_columns, outcomes)
     order_by = workflow.choose_order_column(checks.drift_columns, prof.process_columns)
-    ranking = workflow.rank_drivers(data, prof.process_columns, outcomes, order_by=order_by, settings=FOREST)
+    ranking = workflow.rank_drivers(data, prof.process_columns, outcomes, order_by=order_by)
     window = spark.createDataFrame([
         ("sum_quantity", "process", 100.0, 20.0, 250.0, "pcs", "high", ""),
         ("yield_amount", "qc", None, 5000.0, None, "USD", "high", ""),

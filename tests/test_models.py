@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lotwise.operators import features, latent, trees
 from lotwise.plans import workflow
 
-SMALL = trees.ForestSettings(trees=12, depth=8, bags=4, repeats=2)
+SMALL = trees.ForestSettings(trees=20, repeats=2)
 
 
 def batches(n=400, seed=11):
@@ -116,10 +116,18 @@ def test_ranking_recovers_planted_drivers(data):
 def test_noise_has_no_out_of_bag_score(spark):
     local = batches()
     local["yield_g"] = np.random.default_rng(0).normal(size=len(local))
-    rows = features.modelling_rows(frame(spark, local), "yield_g")
-    encoded = features.encode(rows, features.fit_features(rows, COLUMNS)).select("batch_id", "label", "features")
-    fitted = trees._forest(SMALL, SMALL.trees).fit(encoded)
-    assert trees.out_of_bag_r2(encoded, "batch_id", SMALL) < 0.15 < trees.score_r2(fitted.transform(encoded)).first().r2
+    model = trees.random_forest(frame(spark, local), COLUMNS, "yield_g", SMALL)
+    assert model.oob_r2 < 0.15 < 0.5 < model.training_r2
+
+
+def test_default_forest_finds_the_planted_drivers(data):
+    model = trees.random_forest(data, COLUMNS, "yield_g", order_by="sequence")
+    by = {r.process_variable: r for r in model.variables.collect()}
+    order = sorted(by, key=lambda v: -by[v].rf_score)
+    assert order[0] in ("feed", "temperature") and "feed" in order[:2] and "temperature" in order[:3]
+    assert 0.7 < model.oob_r2 < model.training_r2 and model.time_ordered["test_r2"] > 0.6
+    assert abs(sum(r.model_importance for r in by.values()) - 1) < 1e-9
+    assert by["rpm"].group_permutation_importance < 0.1 * by["feed"].group_permutation_importance
 
 
 def test_attributions_add_up(data):
