@@ -62,32 +62,27 @@ def fit_features(df: DataFrame, columns: Sequence[str], most_features: int = MOS
     """Exact medians, modes and all levels; a few jobs whatever the column count."""
     if not columns:
         raise InputError("at least one process column is needed")
-    numeric = [c for c in columns if _numeric(df, c)]
-    check_width(len(numeric), most_features)
-    texts = [c for c in columns if c not in numeric]
-    medians = {c: 0.0 for c in numeric}
-    if numeric:
-        numbers = df.select(*[_number(df, c).alias(c) for c in numeric])
-        medians |= {r.variable: r.quantiles[0] for r in column_quantiles(numbers, numeric, [0.5]).collect()}
+    check_width(sum(_numeric(df, c) for c in columns), most_features)
+    medians, texts = number_medians(df, columns)
     modes, levels = {c: MISSING_LEVEL for c in texts}, {c: [] for c in texts}
     if texts:
         facts = distinct_facts(df, texts).collect()
-        check_width(len(numeric) + sum(r.unique_count for r in facts), most_features)
+        check_width(len(medians) + sum(r.unique_count for r in facts), most_features)
         modes |= {r.variable: r.top_value for r in facts if r.top_value is not None}
         for r in value_frequencies(df, texts).select("variable", "value").collect():  # checked above
             levels[r.variable].append(r.value)
         for c in texts:
             levels[c] = sorted(levels[c]) or [MISSING_LEVEL]
-    names = [*numeric, *[f"{c}={v}" for c in texts for v in levels[c]]]
-    variable_of = [*numeric, *[c for c in texts for _ in levels[c]]]
+    names = [*medians, *[f"{c}={v}" for c in texts for v in levels[c]]]
+    variable_of = [*medians, *[c for c in texts for _ in levels[c]]]
     return FeatureState(list(columns), medians, modes, levels, names, variable_of)
 
 
-def impute(df: DataFrame, state: FeatureState, missing_level: bool = False) -> DataFrame:
-    """Fill numbers with the median, texts with the mode (or with ``Missing``)."""
+def impute(df: DataFrame, state: FeatureState) -> DataFrame:
+    """Fill numbers with the median, texts with the mode."""
     filled = {c: F.coalesce(_number(df, c), F.lit(m)) for c, m in state.medians.items()}
     for c, mode in state.modes.items():
-        filled[c] = F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LEVEL if missing_level else mode))
+        filled[c] = F.coalesce(F.col(c).cast("string"), F.lit(mode))
     return df.withColumns(filled)
 
 
@@ -121,16 +116,20 @@ def df_with(df: DataFrame, assembled: DataFrame, *added: str) -> DataFrame:
     return assembled.select(*df.columns, *added)
 
 
-def index_levels(df: DataFrame, state: FeatureState, output: str = "features") -> DataFrame:
-    """Vector with one slot per variable for tree models that take categories."""
-    data = impute(df, state, missing_level=True)
-    texts = list(state.levels)
-    codes = {c: f"__code_{i}" for i, c in enumerate(texts)}
-    if texts:
-        data = _with_codes(data, codes, {c: sorted({*state.levels[c], MISSING_LEVEL}) for c in texts})
-    parts = [codes.get(c, c) for c in state.columns]
-    assembled = VectorAssembler(inputCols=parts, outputCol=output).transform(data)
-    return df_with(df, assembled, output)
+def number_medians(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, float], list[str]]:
+    """Exact medians of the numeric columns, and the text columns."""
+    numeric = [c for c in columns if _numeric(df, c)]
+    medians = {c: 0.0 for c in numeric}
+    if numeric:
+        numbers = df.select(*[_number(df, c).alias(c) for c in numeric])
+        medians |= {r.variable: r.quantiles[0] for r in column_quantiles(numbers, numeric, [0.5]).collect()}
+    return medians, [c for c in columns if c not in numeric]
+
+
+def filled(df: DataFrame, medians: dict[str, float], texts: Sequence[str]) -> DataFrame:
+    """Numbers filled with their medians; a missing text is a level of its own."""
+    numbers = {c: F.coalesce(_number(df, c), F.lit(m)) for c, m in medians.items()}
+    return df.withColumns({**numbers, **{c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LEVEL)) for c in texts}})
 
 
 def modelling_rows(df: DataFrame, outcome: str, output: str = "label") -> DataFrame:

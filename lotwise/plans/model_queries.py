@@ -17,9 +17,6 @@ PREPARED = ["order_status", "balance_reading", "priority_rank"]
 PLANTED = ["line_count", "sum_quantity", "avg_tax"]
 MIXED = ["order_status", "supplier_segment", "balance_reading", "line_count", "sum_quantity", "avg_tax"]
 
-# Lighter than the library defaults.
-BOOST = trees.BoostSettings(iterations=8, rate=0.3, depth=4)
-
 
 def process_and_measures(spark, folder):
     """Order attributes next to line measures, one row per order with lines."""
@@ -228,12 +225,12 @@ def mod_oob(spark, folder):
 
 @query()
 def mod_boosted(spark, folder):
-    return trees.boosted_trees(process_and_measures(spark, folder), MIXED, "yield_amount", BOOST).variables
+    return trees.boosted_trees(process_and_measures(spark, folder), MIXED, "yield_amount").variables
 
 
 @query()
 def mod_attribution(spark, folder):
-    return trees.boosted_trees(process_and_measures(spark, folder), MIXED, "yield_amount", BOOST).attributions
+    return trees.boosted_trees(process_and_measures(spark, folder), MIXED, "yield_amount").attributions
 
 
 @query()

@@ -131,32 +131,21 @@ def test_default_forest_finds_the_planted_drivers(data):
 
 
 def test_attributions_add_up(data):
-    settings = trees.BoostSettings(iterations=6, rate=0.3, depth=4)
-    model = trees.boosted_trees(data, COLUMNS, "yield_g", settings)
-    rows = features.index_levels(features.modelling_rows(data, "yield_g"), features.fit_features(data, COLUMNS))
-    fitted = trees._booster(settings, features.fit_features(data, COLUMNS)).fit(rows)
-    sums = model.attributions.groupBy("batch_id").agg((F.sum("attribution") + model.base_value).alias("s"))
-    both = fitted.transform(rows).join(sums, "batch_id").agg(F.max(F.abs(F.col("s") - F.col("prediction")))).first()[0]
-    assert both < 1e-8
-    assert model.variables.orderBy(F.desc("boosted_score")).first().process_variable == "feed"
-    assert not trees.boosted_trees(data.limit(10), COLUMNS, "yield_g", settings).available
-
-
-def test_leaf_terms_equal_all_orders():
-    """One leaf with three features against the average over all feature orders."""
-    from itertools import permutations
-
-    leaf = trees.Leaf(5.0, 0.1, {0: ((("number", (1.0,), True),), 0.5), 1: ((("number", (2.0,), False),), 0.3),
-                                 2: ((("level", (0.0, 1.0), True),), 0.8)})
-    x = np.array([[0.0, 3.0, 1.0], [2.0, 3.0, 2.0]])
-    total = np.zeros_like(x)
-    trees._add_leaf(total, x, leaf)
-    met, cover = np.array([[1, 1, 1], [0, 1, 0]], float), np.array([0.5, 0.3, 0.8])
-    expected = np.zeros_like(x)
-    for order in permutations(range(3)):
-        known = np.tile(cover, (2, 1))
-        for f in order:
-            before = known.prod(1)
-            known[:, f] = met[:, f]
-            expected[:, f] += 5.0 * (known.prod(1) - before) / 6
-    np.testing.assert_allclose(total, expected)
+    model = trees.boosted_trees(data, COLUMNS, "yield_g", order_by="sequence")
+    fitted, binned, *_ = trees.fitted_boost(features.enough_rows(data, "yield_g"), COLUMNS, trees.BoostSettings(), "batch_id")
+    plain = {r.key: fitted.predict(np.array([list(r.codes)]))[0] for r in binned.collect()}
+    sums = model.attributions.groupBy("batch_id").agg((F.sum("attribution") + model.base_value).alias("s")).collect()
+    assert len(sums) == 400 and max(abs(r.s - plain[r.batch_id]) for r in sums) < 1e-8
+    order = [r.process_variable for r in model.variables.orderBy(F.desc("boosted_score")).collect()]
+    assert order[:2] == ["feed", "temperature"] and model.training_r2 > 0.9 and model.time_ordered["test_r2"] > 0.6
+    assert not trees.boosted_trees(data.limit(10), COLUMNS, "yield_g").available
+
+
+def test_a_category_of_noise_has_no_importance(spark):
+    local = batches()
+    local["supplier"] = [f"L{i}" for i in np.random.default_rng(2).integers(0, 150, len(local))]
+    model = trees.boosted_trees(frame(spark, local), COLUMNS, "yield_g")
+    by = {r.process_variable: r for r in model.variables.collect()}
+    assert by["supplier"].model_importance < 0.1 and by["supplier"].mean_abs_attribution < 0.15 * by["feed"].mean_abs_attribution
+    told = trees.boosted_trees(frame(spark, batches()), COLUMNS, "yield_g").variables.collect()
+    assert {r.process_variable: r for r in told}["supplier"].mean_abs_attribution > by["supplier"].mean_abs_attribution
