@@ -2,12 +2,13 @@
 
 A message is ``### role:``, a line feed, its texts, ``</turn>`` and a line feed. Texts of adjacent
 turns of one role share a message and are divided by ``<part/>``. Inside texts and roles a
-backslash is doubled and ``\\-`` is put into every control string, so that none remains and the
-turns can be read back exactly.
+backslash is doubled and ``\\-`` is put into every control string, and between any two number signs,
+so that none remains and the turns can be read back exactly.
 
 Rows: null roles and texts count as empty; turns sort by turn (nulls first), role and text, so
 ties and repeated rows have one order; a null conversation id is a conversation of its own; an
-empty table gives an empty result.
+empty table gives an empty result; very long texts are formatted whole; columns of other names
+play no part.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ TURN_END, PART, HEAD = "</turn>\n", "<part/>", "### "
 
 
 def escape(text: Column, role: bool = False) -> Column:
-    """Double backslashes, then break every control string with ``\\-``."""
-    controls = [("</turn>", "<\\-/turn>"), ("<part/>", "<\\-part/>"), ("###", "#\\-##")] + ([(":\n", ":\\-\n")] if role else [])
+    """Double backslashes, then break every control string with ``\\-``; no two number signs stay together."""
+    controls = [("</turn>", "<\\-/turn>"), ("<part/>", "<\\-part/>")] + ([(":\n", ":\\-\n")] if role else [])
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for control, broken in controls:
         out = F.replace(out, F.lit(control), F.lit(broken))
-    return out
+    return F.regexp_replace(out, "#(?=#)", "#\\\\-")
 
 
 def unescape(text: Column) -> Column:

@@ -58,8 +58,10 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 def _escaped(text: str, role: bool = False) -> str:
     out = f"replace({text}, '\\', '\\\\')"
-    for control in ["</turn>", "<part/>", "###"]:
+    for control in ["</turn>", "<part/>"]:
         out = f"replace({out}, '{control}', '{control[0]}\\-{control[1:]}')"
+    # two rounds part all neighbours in a run: first and second of each pair, then what the pairs left together
+    out = f"replace(replace({out}, '##', '#\\-#'), '##', '#\\-#')"
     return f"replace({out}, ':' || chr(10), ':\\-' || chr(10))" if role else out
 
 
