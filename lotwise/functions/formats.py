@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, NumericType, ShortType
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -16,6 +17,18 @@ def number_text(c: Column, pattern: str = "%.3f") -> Column:
     return F.when(c.isNotNull(), F.format_string(pattern, c.cast("double"))).otherwise("n/a")
 
 
+def cell_text(df: DataFrame, column: str) -> Column:
+    """A table cell: whole numbers in groups of three digits, other numbers with three decimals, nothing for NULL."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        text = F.format_number(c, 0)
+    elif isinstance(kind, NumericType):
+        text = F.when(c.isNotNull() & ~F.isnan(c.cast("double")), F.format_string("%.3f", c.cast("double")))
+    else:
+        text = c.cast("string")
+    return F.coalesce(text, F.lit(""))
+
+
 def range_number_text(c: Column) -> Column:
     """Compact end point of a range: one decimal from 10 up, else three digits."""
     size = F.abs(c)

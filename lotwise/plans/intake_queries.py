@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lotwise.functions import clean
@@ -10,7 +12,8 @@ from lotwise.operators import match, reshape, retype
 from lotwise.plans import views
 from lotwise.plans.registry import query
 from lotwise.plans.views import LONG_SQL, MERGED_SQL, OUTCOMES, PROCESS_SQL, QC_SQL
-from lotwise.sources import delimited
+from lotwise.session import checkpoint_folder
+from lotwise.sources import delimited, sinks
 
 KEY, QC_KEY = "Batch ID", "Batch Identifier"
 DUPLICATES = [QC_KEY, "Test Name", "event_id", "value"]
@@ -263,3 +266,17 @@ def src_preview(spark, folder):
     lines = delimited.split_records(_exports(spark, folder), "file", "content")
     kind = F.when(F.col("row") == 0, "title").otherwise("header")
     return delimited.preview(lines, 2).select("file", kind.alias("kind"), "row", "line")
+
+
+@query(f"""WITH {PROCESS_SQL}
+SELECT trim("Batch ID") AS batch_id, order_status, NULL::VARCHAR AS site_nation, printf('%.2f', account_balance) AS account_balance FROM process WHERE order_status = 'F'
+UNION ALL SELECT trim("Batch ID"), NULL, site_nation, printf('%.2f', account_balance) FROM process WHERE order_status <> 'F'""")
+def src_read_delimited(spark, folder):
+    """Files of two layouts, written from the process table (the writer trims cells) and read in one scan."""
+    rows = views.process(spark, folder).select(
+        F.col("Batch ID").alias("batch_id"), "order_status", "site_nation", F.format_string("%.2f", "account_balance").alias("account_balance"))
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    sinks.write_table(rows.where("order_status = 'F'").select("batch_id", "order_status", "account_balance"), f"{path}/first", "csv")
+    sinks.write_table(rows.where("order_status <> 'F'").select("account_balance", "site_nation", "batch_id"), f"{path}/second", "csv")
+    found = delimited.read_delimited(spark, [f"{path}/first", f"{path}/second"])
+    return found.select("batch_id", "order_status", "site_nation", "account_balance")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from lotwise.functions.formats import rounded, share_of_max
+from lotwise.functions.formats import cell_text, rounded, share_of_max
 from lotwise.operators import audit, features, findings, latent, limits, profile, rank, stats, trees
 from lotwise.operators.limits import LIMIT_SCHEMA
 from lotwise.plans import views, workflow
@@ -49,6 +49,14 @@ def fea_encode(spark, folder):
     return features.encode(data, state).select("batch_id", *[vector[i].alias(n) for i, n in enumerate(names)])
 
 
+@query(f"""WITH {MERGED_SQL}
+SELECT "Batch ID" AS batch_id, coalesce(printf('%.3f', balance_reading), '') AS balance_reading, coalesce(order_status, '') AS order_status,
+       format('{{:,}}', CAST(round(account_balance * 100) AS BIGINT)) AS balance_cents FROM merged""")
+def scl_cell_text(spark, folder):
+    data = views.merged(spark, folder).withColumn("balance_cents", F.round(F.col("account_balance") * 100).cast("bigint"))
+    return data.select("batch_id", *[cell_text(data, c).alias(c) for c in ("balance_reading", "order_status", "balance_cents")])
+
+
 @query(f"""WITH {MEASURES_SQL}, s AS (
   SELECT avg(sum_quantity) AS m, stddev_pop(sum_quantity) AS d, avg(line_count) AS lm, stddev_pop(line_count) AS ld FROM measures)
 SELECT batch_id, round((sum_quantity - m) / d, 6) AS sum_quantity, round((line_count - lm) / ld, 6) AS line_count FROM measures, s""")
@@ -159,6 +167,33 @@ def win_rank(spark, folder):
     return rounded(rank.top_drivers(_ranked(spark, folder), 2), 6)
 
 
+@query(f"WITH {SCORES_SQL} SELECT outcome, rank, process_variable, {ROUND_SCORES} FROM ranked")
+def srt_appendix(spark, folder):
+    return rounded(rank.appendix(_ranked(spark, folder)), 6)
+
+
+@query(f"""WITH {SCORES_SQL}, long AS (
+  SELECT outcome, process_variable, 'pca_score' AS method, pca_score AS score FROM ranked
+  UNION ALL SELECT outcome, process_variable, 'pls_score', pls_score FROM ranked
+  UNION ALL SELECT outcome, process_variable, 'rf_score', rf_score FROM ranked)
+SELECT outcome, method, CAST(row_number() OVER (PARTITION BY outcome, method ORDER BY score DESC, process_variable) AS INTEGER) AS position,
+       process_variable, round(score, 6) AS score FROM long""")
+def evd_method_tops(spark, folder):
+    return rounded(workflow.method_tops(_ranked(spark, folder)), 6)
+
+
+@query(f"""WITH {MEASURES_SQL}, r AS (SELECT abs(corr(sum_quantity, line_count)) AS r, count(*) / (count(*) - 1) AS s FROM measures)
+SELECT feature, feature AS process_variable, round(sqrt(s * (1 + r) / 2), 6) AS first_size, round(sqrt(s * (1 - r) / 2), 6) AS second_size,
+       round(sqrt(s), 6) AS distance
+FROM r, (VALUES ('sum_quantity'), ('line_count')) AS f(feature)""")
+def srt_top_loadings(spark, folder):
+    """Two correlated variables load alike on both components."""
+    from lotwise.operators.charts import top_loadings
+
+    found = top_loadings(latent.principal_components(views.measures(spark, folder), ["sum_quantity", "line_count"]).loadings)
+    return rounded(found.select("feature", "process_variable", F.abs("PC1").alias("first_size"), F.abs("PC2").alias("second_size"), "distance"), 6)
+
+
 @query(f"""WITH {SCORES_SQL}
 SELECT outcome, rank, process_variable, 'pca_score' AS method, round(pca_score, 6) AS score FROM ranked
 UNION ALL SELECT outcome, rank, process_variable, 'pls_score', round(pls_score, 6) FROM ranked

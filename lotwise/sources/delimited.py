@@ -119,31 +119,32 @@ def fixed_headers(lines: DataFrame, header_row: int) -> DataFrame:
 
 
 def load(
-    lines: DataFrame, headers: DataFrame, delimiter: str = ",", keep_file: bool = False, most_layouts: int = 1000,
+    lines: DataFrame, headers: DataFrame, delimiter: str = ",", keep_file: bool = False, most_layouts: int = 100_000,
 ) -> DataFrame:
     """All data rows below the headers, every column as text.
 
-    Files with the same header are read together; files with different headers
-    are united by column name. Each layout is a branch of the plan, hence
-    ``most_layouts``.
+    Columns of one name are one column, whatever their place in a file. A line is parsed once, into as many
+    cells as the widest header has, and a file's header tells which cell goes where, so any number
+    of layouts is one scan. The driver holds the different headers, hence ``most_layouts``.
     """
-    layouts = [r.line for r in headers.select("line").distinct().limit(most_layouts + 1).collect()]
+    layouts = sorted(r.line for r in headers.select("line").distinct().limit(most_layouts + 1).collect())
     if not layouts:
         raise InputError("no header row was found")
     if len(layouts) > most_layouts:
         raise InputError(f"more than {most_layouts} different headers: check the header row or raise most_layouts")
-    heads = headers.select("file", F.col("position").alias("__from"), F.col("line").alias("__header"))
+    fresh = {line: unique_names(next(csv.reader([line], delimiter=delimiter)))[0] for line in layouts}
+    columns = list(dict.fromkeys(c for found in fresh.values() for c in found))
+    # from 1; a header without the column has no place for it
+    places = [(line, [found.index(c) + 1 if c in found else None for c in columns]) for line, found in fresh.items()]
+    known = headers.sparkSession.createDataFrame(places, "__layout string, __places array<int>")
+    heads = headers.join(known, headers["line"] == known["__layout"]).select("file", F.col("position").alias("__from"), "__places")
     body = lines.join(heads, "file").filter(F.col("later_block") | (F.col("position") > F.col("__from")))
-    result = None
-    for layout in layouts:
-        raw = next(csv.reader([layout], delimiter=delimiter))
-        fresh, _ = unique_names(raw)
-        schema = ", ".join(f"c{i} string" for i in range(len(fresh)))
-        row = F.from_csv("line", schema, {"sep": delimiter, "mode": "PERMISSIVE", "escape": '"'})
-        part = body.filter(F.col("__header") == layout).select(
-            row.alias("r"), F.col("file").alias("_file"), F.col("position").alias("_line")
-        ).select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(fresh)], "_file", "_line")
-        result = part if result is None else result.unionByName(part, allowMissingColumns=True)
+    width = max(map(len, fresh.values()))
+    row = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"sep": delimiter, "mode": "PERMISSIVE", "escape": '"'})
+    parsed = body.select(row.alias("r"), "__places", F.col("file").alias("_file"), F.col("position").alias("_line"))
+    cells = parsed.withColumn("__cells", F.array(*(F.col(f"r.c{i}") for i in range(width))))
+    placed = cells.select(F.transform("__places", lambda p: F.get("__cells", p - 1)).alias("__own"), "_file", "_line")
+    result = placed.select(*(F.get("__own", F.lit(i)).alias(c) for i, c in enumerate(columns)), "_file", "_line")
     return result if keep_file else result.drop("_file", "_line")
 
 

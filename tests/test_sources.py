@@ -1,4 +1,5 @@
 import json
+import random
 import zipfile
 
 import pytest
@@ -126,3 +127,21 @@ def test_write_table(spark, tmp_path):
 def test_templates(spark):
     for name, schema in contracts.CONTRACTS.items():
         assert contracts.template(spark, name).schema == schema
+
+
+def test_many_layouts_are_one_scan(spark):
+    """300 headers with the same columns in other places, some of them missing."""
+    draw = random.Random(1)
+    names = [f"col {i}" for i in range(6)]
+    rows, expected = [], set()
+    for f in range(300):
+        own = draw.sample(names, draw.randint(2, 6))
+        body = [[f"{n}-{f}-{r}" for n in own] for r in range(2)]
+        text = "\n".join(",".join(x) for x in [own, *body])
+        rows.append((f"f{f}", text))
+        expected |= {tuple(f"{n}-{f}-{r}" if n in own else None for n in names) for r in range(2)}
+    lines = delimited.split_records(spark.createDataFrame(rows, "file string, content string"), "file", "content")
+    found = delimited.load(lines, delimited.fixed_headers(lines, 0))
+    assert sorted(found.columns) == names
+    assert {tuple(r) for r in found.select(*[f"`{n}`" for n in names]).collect()} == expected
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
