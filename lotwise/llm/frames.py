@@ -16,9 +16,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def small_or_not(frame: DataFrame) -> DataFrame:
+def small_or_not(frame: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only for a frame counted to be small. ``frame`` must be cheap to read twice."""
-    few = frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = frame.limit(most + 1).count() <= most
     return F.broadcast(frame) if few else frame
 
 

@@ -113,36 +113,43 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Passages that stand in an earlier document or place, as spans of the original texts."""
-    found = substrings.passages(table(spark, folder, "documents"))
+    """Sentences and lines that stand in an earlier document or place, as spans of the original texts."""
+    found = substrings.passages(table(spark, folder, "documents"), kinds=[substrings.SENTENCES, substrings.LINES])
     return found.select(
-        F.col("key").alias("doc_id"), "start", "stop", "n_words", "n_units", F.col("kept_key").alias("kept_doc_id"), "kept_start",
+        F.col("key").alias("doc_id"), F.when(F.col("kind") == substrings.LINES, "line").otherwise("sentence").alias("unit"),
+        "start", "stop", "n_words", "n_units", F.col("kept_key").alias("kept_doc_id"), "kept_start",
     )
 
 
-ORACLES["op2_substring_dedup"] = rf"""
+ORACLES["op2_substring_dedup"] = r"""
 WITH cut AS (
-  SELECT doc_id, unnest(found) AS unit, generate_subscripts(found, 1) AS no
-  FROM (SELECT doc_id, regexp_extract_all(text, '[^
+  SELECT doc_id, unit_kind, unnest(found) AS unit, generate_subscripts(found, 1) AS no
+  FROM (
+    SELECT doc_id, 'sentence' AS unit_kind, regexp_extract_all(text, '[^
 .?]+[.?]*|[.?]+|
-') AS found FROM documents WHERE text IS NOT NULL)
+') AS found FROM documents WHERE text IS NOT NULL
+    UNION ALL
+    SELECT doc_id, 'line', regexp_extract_all(text, '[^
+]+|
+') FROM documents WHERE text IS NOT NULL
+  )
 ), placed AS (
-  SELECT doc_id, unit, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY no) - length(unit) AS start,
+  SELECT doc_id, unit_kind, unit, sum(length(unit)) OVER (PARTITION BY doc_id, unit_kind ORDER BY no) - length(unit) AS start,
     [w FOR w IN regexp_split_to_array(lower(unit), '\s+') IF w <> ''] AS words
   FROM cut
 ), units AS (
-  SELECT doc_id, start, start + length(unit) AS stop, len(words) AS n_words, array_to_string(words, ' ') AS unit,
-    row_number() OVER (PARTITION BY doc_id ORDER BY start) AS place
-  FROM placed WHERE len(words) >= {substrings.UNIT_WORDS}
+  SELECT doc_id, unit_kind, start, start + length(unit) AS stop, len(words) AS n_words, array_to_string(words, ' ') AS unit,
+    row_number() OVER (PARTITION BY doc_id, unit_kind ORDER BY start) AS place
+  FROM placed WHERE len(words) >= CASE unit_kind WHEN 'line' THEN 1 ELSE 4 END
 ), met AS (
   SELECT *, first_value(doc_id) OVER own AS kept_doc_id, first_value(start) OVER own AS kept_start, row_number() OVER own AS nth
-  FROM units WINDOW own AS (PARTITION BY unit ORDER BY doc_id, place)
+  FROM units WINDOW own AS (PARTITION BY unit_kind, unit ORDER BY doc_id, place)
 ), runs AS (
-  SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM met WHERE nth > 1
+  SELECT *, place - row_number() OVER (PARTITION BY doc_id, unit_kind ORDER BY place) AS run FROM met WHERE nth > 1
 )
-SELECT doc_id, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop, sum(n_words)::BIGINT AS n_words, count(*) AS n_units,
+SELECT doc_id, unit_kind AS unit, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop, sum(n_words)::BIGINT AS n_words, count(*) AS n_units,
   arg_min(kept_doc_id, place) AS kept_doc_id, arg_min(kept_start, place)::BIGINT AS kept_start
-FROM runs GROUP BY doc_id, run HAVING sum(n_words) >= {substrings.LEAST_WORDS}
+FROM runs GROUP BY doc_id, unit_kind, run
 """
 
 
