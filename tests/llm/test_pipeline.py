@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lotwise.llm import substrings
@@ -113,3 +114,17 @@ def test_run_and_empty_tables(spark, planted, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").limit(0).write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_stages_take_documents_with_any_further_columns(spark, planted):
+    """Columns named like those the stages make on the way; the same rows stay."""
+    folder, _, _ = planted
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clashing = docs
+    for name in ["stretch", "read_text", "read_id", "held_id", "key", "copy", "row", "cuts", "d0", "kind", "component", "gone", "word", "lim"]:
+        clashing = clashing.withColumn(name, F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        own = stage(spark, clashing, folder)
+        assert own.columns == clashing.columns, name
+        ids = lambda df: sorted(str(r["doc_id"]) for r in df.select("doc_id").collect())
+        assert ids(own) == ids(stage(spark, docs, folder)), name
