@@ -58,14 +58,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     held = read.join(spans, F.col("read_id") == F.col("held_id")).select(
         "read_id", "read_text", stretch.alias("stretch")
     ).distinct()
-    own = F.col("doc_id").cast("long")
-    now = F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" "))
+    own, text = docs["doc_id"].cast("long"), docs["text"]  # further columns of docs may have any names
+    now = F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
     grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("stretch") - 2, F.lit(1))), lambda i: F.array_join(F.slice("stretch", i, 3), " ")
+        F.sequence(F.lit(1), F.greatest(F.size(held["stretch"]) - 2, F.lit(1))), lambda i: F.array_join(F.slice(held["stretch"], i, 3), " ")
     )
     rest = (
-        (own == F.col("read_id")) & (F.length("text") < F.length("read_text"))
-        & (F.size(F.array_except(words(F.col("text")), words(F.col("read_text")))) == 0)
+        (own == held["read_id"]) & (F.length(text) < F.length(held["read_text"]))
+        & (F.size(F.array_except(words(text), words(held["read_text"]))) == 0)
         & F.exists(grams, lambda g: F.contains(now, F.concat(F.lit(" "), g, F.lit(" "))))
     )
     doubtful = docs.join(ids, own == ids["id"], "left_semi").join(held, rest, "left_anti")
