@@ -274,7 +274,18 @@ def mod_ranked_drivers(spark, folder):
         process_and_measures(spark, folder), MIXED, ["yield_amount", "discount_residual"]).ranked
 
 
+GATHERED: dict[tuple[str, str], workflow.Evidence] = {}
+
+
 def _evidence(spark, folder):
+    """The analysis behind three queries, gathered once in a session."""
+    at = spark.sparkContext.applicationId, folder
+    if at not in GATHERED:
+        GATHERED[at] = _gathered(spark, folder)
+    return GATHERED[at]
+
+
+def _gathered(spark, folder):
     data = process_and_measures(spark, folder).select(
         "batch_id", "order_date", *MIXED, "yield_amount", "discount_residual")
     data = checkpoint(data)
