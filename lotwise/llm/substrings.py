@@ -7,8 +7,8 @@ the one of the smallest (rank, key, place) is kept. Adjacent repeated sentences
 with the short ones between them, and so do adjacent repeated lines; every passage is removed,
 unless a higher ``least_words`` is asked for. Offsets are code points of the original text.
 
-Texts are read twice. The first pass counts half digests alone, 8 bytes a unit; the second one
-sends on only the units, with their places, whose half digest was counted more than once.
+Texts are read twice. The first pass counts half digests alone, 8 bytes a unit; of the second one
+only the units whose half digest was counted more than once are kept, grouped and placed.
 
 Rows: a null text has no units; ties go by key (nulls last) and place; rows equal in key and
 text count as one document, so each keeps what the document keeps; an empty table gives an empty
@@ -37,7 +37,7 @@ UNIT = r"[^\n.?]+[.?]*|[.?]+"
 LINE = r"[^\n]+"
 SENTENCES, LINES = 0, 1
 RULES = {SENTENCES: (UNIT, UNIT_WORDS), LINES: (LINE, 1)}  # what a unit is, and its least words
-BROADCAST_DIGESTS = 1 << 19  # of one or two longs
+BROADCAST_ROWS = 1 << 19  # of two longs
 
 
 def units_of(text: str, kinds: list[int]) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -101,8 +101,8 @@ def passages(
     compared, sentences alone if it is not given; lines have no ``least_words`` unless it is raised.
     """
     kinds = [SENTENCES] if kinds is None else kinds
-    again = small_or_not(repeated_halves(docs, kinds, key, text).withColumnRenamed("d0", "half"), BROADCAST_DIGESTS)
-    # few units stand more than once; these alone are sent on with their places
+    again = repeated_halves(docs, kinds, key, text).withColumnRenamed("d0", "half")
+    # few units stand more than once; these alone are kept with their places
     found = units(docs, kinds, key, text).join(again, F.col("d0") == F.col("half"), "left_semi")
     found = checkpoint(found)
     at = F.struct(F.col("key").isNull().alias("none"), "key", "copy", "place")
@@ -156,7 +156,7 @@ def removed(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id"
     kinds = StructType([StructField("row", packed.schema["row"].dataType), StructField("text", StringType())])
     columns = [F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in names]
     # only rows that have cuts are shuffled, if these are few enough to be told by a broadcast
-    touched = small_or_not(cuts.select("key", "copy"), BROADCAST_DIGESTS)
+    touched = small_or_not(cuts.select("key", "copy"), BROADCAST_ROWS)
     whole = packed.join(touched, same, "left_anti")
     met = packed.join(touched, same, "left_semi").join(cuts, same)
     done = met.select("row", "text", "cuts").mapInArrow(run, kinds)
