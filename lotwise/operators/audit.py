@@ -12,7 +12,7 @@ from lotwise.functions import names
 from lotwise.functions.formats import percent
 from lotwise.operators.quantiles import column_quantiles
 from lotwise.operators.reshape import field_type, to_long
-from lotwise.operators.stats import distinct_facts, is_numeric, pair_correlations, three_values
+from lotwise.operators.stats import is_numeric, level_facts, pair_correlations, three_values
 from lotwise.session import checkpoint
 
 LEAKAGE_CORRELATION = 0.95
@@ -127,7 +127,7 @@ def _level_columns(df: DataFrame, columns: Sequence[str]) -> Column:
 
 
 def many_levels(df: DataFrame, columns: Sequence[str], facts: DataFrame | None = None) -> DataFrame:
-    facts = facts if facts is not None else distinct_facts(df, columns)
+    facts = facts if facts is not None else level_facts(df, columns)
     rows = df.agg(F.count("*").alias("row_count"))
     share = F.col("unique_count") / F.greatest(F.col("row_count"), F.lit(1))
     single = facts.withColumn("one", F.lit(1)).join(
@@ -147,7 +147,7 @@ def confounding(df: DataFrame, columns: Sequence[str], facts: DataFrame | None =
             [], "column string, matched_terms string, unique_count bigint, "
                 "most_common_level string, most_common_level_percent double",
         )
-    facts = facts if facts is not None else distinct_facts(df, named)
+    facts = facts if facts is not None else level_facts(df, named)
     term = F.create_map(*[F.lit(x) for c in named for x in (c, terms[c])])
     return facts.filter(F.col("variable").isin(named) & _level_columns(df, columns)).select(
         F.col("variable").alias("column"), term[F.col("variable")].alias("matched_terms"), "unique_count",
@@ -245,8 +245,8 @@ def audit_warnings(
 
 
 def run_audit(df: DataFrame, columns: Sequence[str], outcomes: Sequence[str]) -> Audit:
-    """All audit tables; frequencies are shared, quantiles and pairs are one pass each."""
-    facts = checkpoint(distinct_facts(df, columns))  # a row per column, read by several tables
+    """All audit tables; frequencies of level columns are shared, quantiles and pairs are one pass each."""
+    facts = checkpoint(level_facts(df, columns))  # a row per level column, read by two tables
     guidance = sample_size_guidance(df)
     by_name = leakage_names(df.sparkSession, columns, outcomes)
     by_value = leakage_correlations(df, columns, outcomes)

@@ -8,14 +8,19 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import ByteType, DoubleType, IntegerType, LongType, NumericType, ShortType
 
 from lotwise.operators.blocks import block_rows, summed_blocks
 from lotwise.operators.reshape import field_type, number_column, to_long
+from lotwise.session import checkpoint
 
 # Wider tables switch from one wide aggregate to the long form, because very
 # wide aggregates outgrow a generated method and fall back to interpretation.
 WIDE_LIMIT = 60
+# Values are counted in one of these types, see ``value_frequencies``.
+CELL_KINDS = ["bigint", "double", "string"]
+# Where bounds are enough, values are counted by this many buckets of their hash.
+BUCKETS = 256
 
 
 def is_numeric(df: DataFrame, column: str) -> bool:
@@ -62,11 +67,85 @@ def missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``variable, value, n`` of every non-NULL value, combined before the shuffle.
 
-    The shuffle key is (variable, value), so neither a long column nor a
-    frequent value ends up in one task.
+    The shuffle key is the variable and the value in its own type, so neither a
+    long column nor a frequent value ends up in one task, and only distinct
+    values are turned into text.
     """
-    long = to_long(df, columns, as_text=True).filter(F.col("value").isNotNull())
-    return long.groupBy("variable", "value").agg(F.count("*").alias("n"))
+    kinds = {c: _cell_kind(df, c) for c in columns}
+    cells = [
+        F.struct(F.lit(c).alias("variable"), *[
+            (_plain_cell(df, c) if kinds[c] == k else F.lit(None)).cast(k).alias(k) for k in CELL_KINDS
+        ])
+        for c in columns
+    ]
+    text = F.coalesce(*[F.col(k).cast("string") for k in CELL_KINDS])
+    return (
+        df.select(F.inline(F.array(*cells))).dropna("all", subset=CELL_KINDS)
+        .groupBy("variable", *CELL_KINDS).agg(F.count("*").alias("n"))
+        .select("variable", text.alias("value"), "n")
+    )
+
+
+def _cell_kind(df: DataFrame, column: str) -> str:
+    """The type that holds a column's values and gives them the column's own text."""
+    dtype = field_type(df, column)
+    if isinstance(dtype, (ByteType, ShortType, IntegerType, LongType)):
+        return "bigint"
+    return "double" if isinstance(dtype, DoubleType) else "string"
+
+
+def _plain_cell(df: DataFrame, column: str) -> Column:
+    """-0.0 and 0.0 are one value, so adding zero makes both the same."""
+    return F.col(column) + 0 if is_numeric(df, column) else F.col(column)
+
+
+def value_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``variable, non_missing, at_least, top_at_most`` without a shuffle of values.
+
+    Rows are counted by (column, hash bucket), ``BUCKETS`` rows a column at most
+    from each task. A bucket in use holds one value or, if its hashes differ, two
+    or more: their sum is a lower bound of the distinct values. The fullest
+    bucket is an upper bound of the most frequent value's rows. Both bounds are
+    certain; columns they leave open are for ``distinct_facts``.
+    """
+    cells = [
+        F.struct(F.lit(c).alias("variable"), F.when(
+            F.col(c).isNotNull(), F.xxhash64(_plain_cell(df, c))).alias("hash"))
+        for c in columns
+    ]
+    found = _bounds(df.select(F.inline(F.array(*cells))).filter(F.col("hash").isNotNull()))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "variable string")
+    return names.join(F.broadcast(found), "variable", "left").fillna(0)  # a row per column
+
+
+def _bounds(hashes: DataFrame) -> DataFrame:
+    """The bounds from rows ``variable, hash``."""
+    buckets = hashes.groupBy("variable", F.pmod("hash", F.lit(BUCKETS)).alias("bucket")).agg(
+        F.count("*").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high")
+    )
+    return buckets.groupBy("variable").agg(
+        F.sum("n").alias("non_missing"), F.sum(F.when(F.col("low") < F.col("high"), 2).otherwise(1)).alias("at_least"),
+        F.max("n").alias("top_at_most"),
+    )
+
+
+def varied(rows: DataFrame, least: int) -> DataFrame:
+    """``variable`` of long rows ``variable, value`` with ``least`` or more distinct numbers.
+
+    Bounds by hash buckets decide at once for columns of many values; only the
+    variables below ``least`` buckets, which hold few values, are counted exactly.
+    """
+    value = F.col("value") + 0
+    bounds = _bounds(rows.filter(F.col("value").isNotNull()).select("variable", F.xxhash64(value).alias("hash")))
+    bounds = checkpoint(bounds.select("variable", "at_least"))  # a row per variable, read twice
+    open_ones = bounds.filter(F.col("at_least") < least).select("variable")
+    counted = (
+        rows.filter(F.col("value").isNotNull()).join(F.broadcast(open_ones), "variable", "left_semi")
+        .groupBy("variable", value.alias("value")).agg(F.lit(1).alias("one"))
+        .groupBy("variable").agg(F.count("*").alias("distinct_values"))
+    )
+    return bounds.filter(F.col("at_least") >= least).select("variable").unionByName(
+        counted.filter(F.col("distinct_values") >= least).select("variable"))
 
 
 def distinct_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -74,6 +153,9 @@ def distinct_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Equally frequent values: the smallest text is the top value.
     """
+    if not columns:
+        return df.sparkSession.createDataFrame(
+            [], "variable string, non_missing bigint, unique_count bigint, top_value string, top_count bigint")
     seen = (
         value_frequencies(df, columns).groupBy("variable")
         .agg(
@@ -90,6 +172,20 @@ def distinct_facts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def level_facts(df: DataFrame, columns: Sequence[str], bounds: DataFrame | None = None) -> DataFrame:
+    """``distinct_facts`` of the columns that can be categorical or binary.
+
+    Numbers of three or more values are left out by their bounds, so no
+    continuous column is shuffled by value.
+    """
+    numeric = [c for c in columns if is_numeric(df, c)]
+    few: set[str] = set()
+    if numeric:
+        bounds = bounds if bounds is not None else value_bounds(df, numeric)
+        few = {r.variable for r in bounds.filter(F.col("at_least") <= 2).select("variable").collect()}
+    return distinct_facts(df, [c for c in columns if c not in numeric or c in few])
+
+
 # --------------------------------------------------------------------------
 # Pairs of columns
 # --------------------------------------------------------------------------

@@ -35,6 +35,16 @@ def prf_types(spark, folder):
     return profile.variable_types(views.merged(spark, folder), PROCESS_COLUMNS)
 
 
+@query(f"""WITH {FACTS_SQL}, t AS (
+  SELECT variable, non_missing, unique_count, CASE WHEN unique_count <= 2 THEN 'binary' WHEN variable IN ({NUMERIC})
+         THEN 'continuous' ELSE 'categorical' END AS type FROM facts)
+SELECT variable AS "column", type, non_missing, CASE WHEN type <> 'continuous' THEN unique_count END AS level_count FROM t""")
+def prf_estimated_types(spark, folder):
+    """Types without a shuffle of continuous values; the estimates themselves are left out of the comparison."""
+    types = profile.estimated_types(views.merged(spark, folder), PROCESS_COLUMNS)
+    return types.selectExpr("column", "type", "non_missing", "IF(type <> 'continuous', unique_count, NULL) AS level_count")
+
+
 @query(f"""WITH {FACTS_SQL} SELECT * FROM freq WHERE variable IN ('order_status', 'order_priority', 'supplier_segment', 'site_nation')""")
 def agg_value_frequencies(spark, folder):
     return stats.value_frequencies(
