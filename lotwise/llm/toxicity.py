@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state grammar over the clauses of a text.
 
-Words are read as classes: insult, threat, target, negation, reported speech, clause end. Three
-transducers are composed into one table: negation marks insults and threats that follow it,
-reported speech marks them again, and the clause transducer turns what it has read into one
-clause kind at the clause's end (insult or threat; negated, reported; aimed at a target or
-not). A document's features are the weights of its matched clauses by kind, and a logistic
+Words are read as classes: insult, threat, target, negation, reported speech. Marks end a
+sentence, or a clause within it (comma, colon). Three transducers are composed into one table:
+negation marks insults and threats that follow it in its clause, and reaches over an aside
+("not, in any way, an ..."); reported speech marks them up to the sentence's end, so over commas,
+colons and quotes ("she said: ..."); the clause transducer turns what it has read into one clause
+kind at the clause's end (insult or threat; negated, reported; aimed at a target or not). A short
+clause of report after a clause ("..., he wrote", "...!' he said") is read from right to left
+first: the end before it becomes a reported end, which marks the clause it closes. A document's features are the weights of its matched clauses by kind, and a logistic
 model over the kinds gives the score; a word outside any matched clause adds nothing.
 
 Learning, from a bounded sample of labelled documents: insult words and stems (leading bytes of
@@ -34,13 +37,17 @@ TARGETS = "you your yours yourself u he she they them those these people du dich
 NEGATIONS = "not no never none neither nor nicht kein keine keinen nie ne pas jamais aucun aucune nunca jamás nadie ningún".split()
 REPORTS = "said says told wrote called claimed quoted sagte sagt schrieb nannte dit disait écrit selon dijo dice escribió según".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+SYMBOLS = ["other", "insult", "threat", "target", "negation", "report", "end", "end'", "pause", "pause'", "aside"]
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, END_REPORTED, PAUSE, PAUSE_REPORTED, ASIDE = range(len(SYMBOLS))
+TRAILING_WORDS = 5  # a clause of report after speech is this long at most
 STEMS = (4, 5, 6, 8, 12)
 LEAST_SHARE, LEAST_DOCS, PRECISION = 0.01, 4, 0.9
 _CLASSES = byte_classes(symbols=True)
 _CLASSES[10] = 2  # a line feed ends a clause
-_ENDS = np.zeros(256, bool)
-_ENDS[[10, *b".!?;:,"]] = True
+_ENDS, _PAUSES, _QUOTES = np.zeros((3, 256), bool)
+_ENDS[[10, *b".!?;"]] = True
+_PAUSES[[*b",:"]] = True
+_QUOTES[[*b"\"'"]] = True
 
 
 class Transducer:
@@ -53,9 +60,11 @@ class Transducer:
         return self.arcs.get((state, symbol), (state, symbol))
 
 
-def marking(trigger: str, mark: str, marks: list[str]) -> Transducer:
-    """Adds ``mark`` to the symbols ``marks`` between ``trigger`` and the end of the clause."""
-    arcs = {("out", trigger): ("in", trigger), ("in", "end"): ("out", "end")}
+def marking(trigger: str, mark: str, marks: list[str], stops: list[str], asides: bool = False) -> Transducer:
+    """Adds ``mark`` to the symbols ``marks`` between ``trigger`` and one of ``stops``; asides are stepped over."""
+    arcs = {("out", trigger): ("in", trigger)} | {(s, x): ("out", x) for s in ("in", "over") for x in stops}
+    if asides:
+        arcs |= {("in", "aside"): ("over", "other"), ("over", "pause"): ("in", "other")}
     return Transducer("out", arcs | {("in", m): ("in", m + mark) for m in marks})
 
 
@@ -64,7 +73,9 @@ def clause(hits: list[str]) -> Transducer:
     arcs = {}
     for held, aimed in itertools.product(["", *hits], [False, True]):
         arcs[(held, aimed), "target"] = ((held, True), "target")
-        arcs[(held, aimed), "end"] = (("", False), held + "@" * aimed if held else "end")
+        for end in ("end", "pause", "end'", "pause'"):
+            report = "'" if end.endswith("'") and not held.endswith("'") else ""
+            arcs[(held, aimed), end] = (("", False), held + report + "@" * aimed if held else end)
         for h in hits:
             arcs[(held, aimed), h] = ((min([x for x in (held, h) if x], key=lambda x: (len(x), x)), aimed), h)
     return Transducer(("", False), arcs)
@@ -75,13 +86,16 @@ def composed() -> tuple[np.ndarray, np.ndarray, list[str]]:
     plain = ["insult", "threat"]
     negated = plain + [p + "-" for p in plain]
     hits = negated + [p + "'" for p in negated]
-    chain = [marking("negation", "-", plain), marking("report", "'", negated), clause(hits)]
-    names = ["other", "insult", "threat", "target", "negation", "report", "end"]
+    ends = ["end", "end'"]
+    chain = [
+        marking("negation", "-", plain, [*ends, "pause", "pause'"], asides=True),
+        marking("report", "'", negated, ends), clause(hits),
+    ]
     kinds = [h + a for h in hits for a in ("", "@")]
     first = tuple(t.start for t in chain)
     states, table = [first], {}
     for state in states:
-        for c, name in enumerate(names):
+        for c, name in enumerate(SYMBOLS):
             out, after = name, []
             for t, s in zip(chain, state):
                 s, out = t.step(s, out)
@@ -90,8 +104,8 @@ def composed() -> tuple[np.ndarray, np.ndarray, list[str]]:
             if tuple(after) not in states:
                 states.append(tuple(after))
     number = {s: k for k, s in enumerate(states)}
-    follow = np.array([[number[table[s, c][0]] for c in range(7)] for s in states])
-    output = np.array([[table[s, c][1] for c in range(7)] for s in states])
+    follow = np.array([[number[table[s, c][0]] for c in range(len(SYMBOLS))] for s in states])
+    output = np.array([[table[s, c][1] for c in range(len(SYMBOLS))] for s in states])
     return follow, output, kinds
 
 
@@ -136,6 +150,35 @@ class Lexicon:
         return np.where(self.closed[at] == h, self.classes[at], OTHER)
 
 
+def with_ends(
+    small: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, word: np.ndarray, classes: np.ndarray,
+) -> np.ndarray:
+    """The symbols with the marks read as ends, pauses and asides, and with reported ends."""
+    def holds(table: np.ndarray) -> np.ndarray:
+        seen = np.concatenate([[0], np.cumsum(table[small])])
+        return ~word & (seen[ends] > seen[starts])
+
+    classes = classes.copy()
+    classes[holds(_PAUSES)] = PAUSE
+    classes[holds(_ENDS)] = END
+    closes = classes >= END
+    fresh = np.concatenate([[True], closes[:-1] | (rows[1:] != rows[:-1])])  # first token of a clause
+    # a pause right after a negation opens an aside, unless the negation is all of its clause ("no, ...")
+    if len(rows) > 2:
+        aside = (classes[2:] == PAUSE) & (classes[1:-1] == NEGATION) & ~fresh[2:] & ~fresh[1:-1]
+        classes[2:][aside] = ASIDE
+    number = np.cumsum(fresh) - 1
+    hit = (classes == INSULT) | (classes == THREAT)
+    words, hits, reports = (np.bincount(number, weights=x, minlength=number[-1] + 1) for x in (word, hit, classes == REPORT))
+    trailing = (reports > 0) & (hits == 0) & (words <= TRAILING_WORDS)
+    last = np.flatnonzero(np.concatenate([fresh[1:], [False]]))  # last token of every clause but the last
+    before = trailing[1:] & (rows[last] == rows[last + 1])
+    quoted = holds(_QUOTES)
+    paused, ended = last[before & (classes[last] == PAUSE)], last[before & (classes[last] == END) & quoted[last]]
+    classes[paused], classes[ended] = PAUSE_REPORTED, END_REPORTED
+    return classes
+
+
 def clause_features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """(rows, kinds): for each kind, log(1 + summed weights of the clauses of that kind)."""
     found = np.zeros((len(offsets) - 1, len(KINDS)))
@@ -152,24 +195,23 @@ def clause_features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) ->
     word = kinds == 1
     classes = np.where(word, lexicon.classify(h), OTHER)
     classes[word & (weight > 0)] = INSULT
-    ends_in = np.concatenate([[0], np.cumsum(_ENDS[small])])
-    classes[~word & (ends_in[ends] > ends_in[starts])] = END
+    classes = with_ends(small, starts, ends, rows, word, classes)
+    closes = (classes == END) | (classes == END_REPORTED)
     hit = (classes == INSULT) | (classes == THREAT)
-    # clauses are numbered by ends and rows; only those with a hit are read
-    number = np.cumsum(np.concatenate([[0], (classes[:-1] == END) | (rows[1:] != rows[:-1])]))
+    # sentences are numbered by ends and rows; only those with a hit are read
+    number = np.cumsum(np.concatenate([[0], closes[:-1] | (rows[1:] != rows[:-1])]))
     read = np.zeros(int(number[-1]) + 1, bool)
     read[number[hit]] = True
-    chosen = np.flatnonzero(read[number] & (classes != OTHER) & (classes != END))
-    state, total, last = 0, 0.0, -1
+    chosen = np.flatnonzero(read[number] & (classes != OTHER))
+    state, total = 0, 0.0
     names = number[chosen].tolist()
     for c, w, own, row, after in zip(classes[chosen].tolist(), weight[chosen].tolist(), names, rows[chosen].tolist(), [*names[1:], -1]):
-        state = _FOLLOW[state][c]
         total += w if c == INSULT else 1.0 if c == THREAT else 0.0
-        if after != own:
-            kind = _OUTPUT[state][END]
-            if kind >= 0:
+        for symbol in (c,) if after == own else (c, END):  # a text may end without a mark
+            kind, state = _OUTPUT[state][symbol], _FOLLOW[state][symbol]
+            if symbol >= END and kind >= 0:  # hits pass through and are told at the end
                 found[row, kind] += total
-            state, total = 0, 0.0
+                total = 0.0
     return np.log1p(found)
 
 
