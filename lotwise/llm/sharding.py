@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.frames import small_or_not
@@ -136,7 +136,11 @@ def cut_rows(ordered: DataFrame, count: int) -> list[int]:
         return [0] * (count - 1)
     step = total / count
     after = F.col("before") + F.col("size")
-    crossing = ordered.where(F.floor(F.col("before") / step) < F.floor(after / step)).select("row_no", "before", "size", "same", "curve").collect()
+
+    def whole_shards(c: str) -> Column:
+        return F.expr(f"CAST({c} AS DECIMAL(20, 0)) * {count} DIV {total}")  # whole numbers, so no cut is lost by rounding
+
+    crossing = ordered.where(whole_shards("before") < whole_shards("before + size")).select("row_no", "before", "size", "same", "curve").collect()
     runs = {}
     if crossing:
         wanted = ordered.sparkSession.createDataFrame(list({(r.same, r.size, r.curve) for r in crossing}), "w_same long, w_size long, w_curve long")
@@ -146,10 +150,7 @@ def cut_rows(ordered: DataFrame, count: int) -> list[int]:
     cuts = []
     for k in range(1, count):
         target = step * k
-        row = next((r for r in crossing if r.before < target <= r.before + r.size), None)
-        if row is None:
-            cuts.append(n)
-            continue
+        row = next(r for r in crossing if r.before * count < total * k <= (r.before + r.size) * count)
         run = runs[row.same, row.size, row.curve]
         lo, hi, start, end = run.lo, run.hi, run.start, run.end
         if end - start > TOLERANCE * step:  # a long run is cut inside

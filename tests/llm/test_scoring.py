@@ -111,6 +111,24 @@ def test_shards_are_even_and_copies_stay_together(spark):
     assert sharding.shards(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[1] * 18, [3, 1, 1, 5, 2, 2, 1, 3], [7]])
+def test_cuts_of_any_count(spark, sizes):
+    before = np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist()
+    rows = [(k, b, s, k, k) for k, (b, s) in enumerate(zip(before, sizes))]
+    ordered = spark.createDataFrame(rows, "row_no long, before long, size long, same long, curve long").cache()
+    total = sum(sizes)
+    for count in (1, 2, 7, 14, 18, 31):
+        expected = []
+        for k in range(1, count):
+            row = next(r for r in rows if r[1] * count < total * k <= (r[1] + r[2]) * count)
+            if row[2] * count > sharding.TOLERANCE * total:  # a long row: its nearer side
+                left, right = total * k - row[1] * count, (row[1] + row[2]) * count - total * k
+                expected.append({row[0]} if left < right else {row[0] + 1} if left > right else {row[0], row[0] + 1})
+        got = sharding.cut_rows(ordered, count)
+        assert len(got) == count - 1 and all(g in e for g, e in zip(got, expected))
+    ordered.unpersist()
+
+
 def counts_by_hand(text):
     t = text or ""
     w = re.findall("[^\x20\x09-\x0d]+", t)
@@ -233,6 +251,20 @@ def test_grammar_tells_clauses_apart():
     assert kinds("I will kill you")[0] == {"threat@"}
     assert kinds("a calm text about you")[0] == set()
     assert kinds("you idiot")[1] > kinds("not an idiot")[1] > kinds("")[1]
+    for text, kind in [
+        ("She said, you are an idiot", "insult'@"), ("She said: you are an idiot", "insult'@"),
+        ('She said: "You are an idiot."', "insult'@"), ("You are an idiot, he wrote", "insult'@"),
+        ("'You idiot,' he said", "insult'@"), ('"You idiot!" he said.', "insult'@"), ('"I will kill you," wrote the man', "threat'@"),
+        ("You are not, in any way, an idiot", "insult-@"), ("He said you are not, in any way, an idiot", "insult-'@"),
+        ("No, you are an idiot", "insult@"), ("I do not like this, you idiot", "insult@"),
+        ("She said hello. You are an idiot", "insult@"), ("You idiot! He said that it rains all day long", "insult@"),
+        ("You idiot, I told all of my friends about what was done", "insult@"),
+        ("She said hello\nYou are an idiot", "insult@"),
+    ]:
+        assert kinds(text)[0] == {kind}, text
+    apart = toxicity.clause_features(*utf8(pa.array(["he said,", "you idiot", ", he said", "", None])), lexicon)
+    assert {toxicity.KINDS[k] for k in np.flatnonzero(apart.sum(axis=0))} == {"insult@"}  # rows do not touch
+    assert kinds("you idiot, you scum")[1] > kinds("you idiot")[1]
 
 
 FOLDER = "/root/testdata/sf0.001"
