@@ -38,7 +38,11 @@ def _nested(expression: str) -> str:
 
 REPORTS_SQL = f"reports AS (SELECT doc_id, {_nested('text')} AS text FROM documents)"
 HEADING_ROWS = ", ".join(f"({_sql_text(h)})" for h in textcheck.HEADINGS)
-CLAIM_ROWS = ", ".join(f"({_sql_text(n)}, {_sql_text(p)})" for n, p in textcheck.OVERCLAIMS.items())
+# Borders of words in any script; DuckDB's own word border knows ASCII letters only.
+OTHER, OTHER_IN_LINE = r"[^\p{L}\p{N}_]", r"[^\p{L}\p{N}_\n]"
+CLAIM_ROWS = ", ".join(
+    f"({_sql_text(n)}, {_sql_text(f'(?:^|{OTHER})' + p.replace(chr(92) + 'b', '') + f'(?:{OTHER}|$)')})"
+    for n, p in textcheck.OVERCLAIMS.items())
 ALLOWED = ["account_balance", "yield_amount"]
 
 
@@ -88,10 +92,11 @@ def txt_misplaced_levels(spark, folder):
     return textcheck.misplaced_levels(reports(spark, folder), "doc_id", "text", _levels(spark, folder))
 
 
-LIMIT_SQL = """(contains(t, 'release limit') OR contains(t, 'spec limit') OR contains(t, 'specification limit') OR contains(t, 'upper spec')
+LIMIT_SQL = f"""(contains(t, 'release limit') OR contains(t, 'spec limit') OR contains(t, 'specification limit') OR contains(t, 'upper spec')
  OR contains(t, 'lower spec') OR contains(t, 'within spec') OR contains(t, 'out of spec') OR contains(t, 'oos'))
- AND NOT regexp_matches(t, '\\bno\\b.{0,80}\\bspec') AND NOT regexp_matches(t, '\\bspec.{0,80}\\bnot (?:provided|supplied)')
- AND NOT regexp_matches(t, '\\bspec.{0,80}\\bwere not (?:provided|supplied)')"""
+ AND NOT regexp_matches(t, '(?:^|{OTHER})no(?:{OTHER_IN_LINE}|{OTHER_IN_LINE}[^\\n]{{0,78}}{OTHER_IN_LINE})spec')
+ AND NOT regexp_matches(t, '(?:^|{OTHER})spec[^\\n]{{0,79}}{OTHER_IN_LINE}not (?:provided|supplied)')
+ AND NOT regexp_matches(t, '(?:^|{OTHER})spec[^\\n]{{0,79}}{OTHER_IN_LINE}were not (?:provided|supplied)')"""
 ASSUMED_SQL = " OR ".join(f"contains(t, {_sql_text(p)})" for p in textcheck.ASSUMED_LIMITS)
 
 
