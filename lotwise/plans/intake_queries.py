@@ -247,16 +247,15 @@ def _exports(spark, folder):
 @query(f"""SELECT 'order-' || l_orderkey AS file, CAST(1 AS BIGINT) AS header_row,
        'Line ID,Quantity value,Test result' AS line FROM lineitem GROUP BY l_orderkey""")
 def src_header_rows(spark, folder):
-    lines = delimited.split_records(_exports(spark, folder), "file", "content")
-    return delimited.suggest_headers(lines).select("file", "header_row", "line")
+    return delimited.text_headers(_exports(spark, folder), "file", "content").select("file", "header_row", "line")
 
 
 @query("""SELECT 'order-' || l_orderkey AS _file, CAST(l_linenumber AS VARCHAR) AS "Line ID",
        replace(printf('%.2f', l_quantity), '.', ',') || ' pcs' AS "Quantity value", l_returnflag AS "Test result"
 FROM lineitem""")
 def src_load_rows(spark, folder):
-    lines = delimited.split_records(_exports(spark, folder), "file", "content")
-    return delimited.load(lines, delimited.suggest_headers(lines), keep_file=True).drop("_line")
+    lines = delimited.with_headers(_exports(spark, folder), "file", "content")
+    return delimited.load(lines, None, keep_file=True).drop("_line")
 
 
 @query("""SELECT 'order-' || l_orderkey AS file, 'title' AS kind, CAST(0 AS BIGINT) AS "row", 'Export of order ' || l_orderkey AS line

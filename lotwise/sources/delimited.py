@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lotwise.errors import InputError
-from lotwise.functions.clean import trim_all
+from lotwise.functions.clean import bind, trim_all
 from lotwise.functions.names import unique_names
 
 PREVIEW_ROWS = 20
@@ -54,13 +54,48 @@ def read_lines(
 
 
 def split_records(texts: DataFrame, file: str, content: str) -> DataFrame:
-    """The same rows from whole texts held in a column."""
-    plain = F.regexp_replace(F.col(content), r"^﻿", "")
-    records = F.regexp_extract_all(plain, F.lit(RECORD), F.lit(1))
-    rows = texts.select(F.col(file).alias("file"), F.posexplode(records).alias("position", "line"))
-    return rows.filter(trim_all(F.col("line")) != "").select(
-        "file", F.lit(False).alias("later_block"), F.col("position").cast("bigint").alias("position"), "line"
-    )
+    """The same rows from whole texts held in a column, with ``row``, the number of a non-blank line from 0.
+
+    A text holds all lines of its file, so ``row`` is known without a shuffle, and so are headers of whole texts
+    (``with_headers``). ``texts`` has one row for each file.
+    """
+    return text_lines(texts.select(F.col(file).alias("file"), _records(F.col(content)).alias("records")))
+
+
+def text_lines(records: DataFrame) -> DataFrame:
+    """Rows of lines from ``file, records`` and any further columns, which every line gets."""
+    more = [c for c in records.columns if c not in ("file", "records")]
+    return records.select("file", *more, F.posexplode("records").alias("__row", "r")).select(
+        "file", F.lit(False).alias("later_block"), F.col("r.position").alias("position"), F.col("r.line").alias("line"),
+        F.col("__row").cast("bigint").alias("row"), *more)
+
+
+def _records(content: Column) -> Column:
+    """Non-blank records of a text with their positions."""
+    found = F.regexp_extract_all(F.regexp_replace(content, r"^﻿", ""), F.lit(RECORD), F.lit(1))
+    placed = F.transform(found, lambda line, i: F.struct(i.cast("bigint").alias("position"), line.alias("line")))
+    return F.filter(placed, lambda r: trim_all(r["line"]) != "")
+
+
+def with_headers(texts: DataFrame, file: str, content: str, delimiter: str = ",", search_rows: int = PREVIEW_ROWS) -> DataFrame:
+    """``split_records`` whose lines carry ``header``, the best header of their own text, so that nothing is shuffled."""
+    records = texts.select(F.col(file).alias("file"), _records(F.col(content)).alias("records"))
+    return text_lines(records.withColumn("header", best_header(F.slice("records", 1, search_rows), delimiter)))
+
+
+def text_headers(texts: DataFrame, file: str, content: str, delimiter: str = ",", search_rows: int = PREVIEW_ROWS) -> DataFrame:
+    """``suggest_headers`` of whole texts, each looked at by itself."""
+    found = texts.select(F.col(file).alias("file"), F.slice(_records(F.col(content)), 1, search_rows).alias("records"))
+    best = found.where(F.size("records") > 0).select("file", best_header(F.col("records"), delimiter).alias("b"))
+    return best.select("file", *(F.col("b")[c].alias(c) for c in ("header_row", "score", "position", "line")))
+
+
+def best_header(records: Column, delimiter: str) -> Column:
+    """The record that scores highest, the earliest of equal ones."""
+    scored = F.transform(records, lambda r, i: F.struct(
+        header_score(cells_of(r["line"], delimiter)).alias("score"), (-i).cast("bigint").alias("before"), r["position"].alias("position"), r["line"].alias("line")))
+    return bind(F.array_max(scored), lambda b: F.struct(
+        (-b["before"]).alias("header_row"), b["score"].alias("score"), b["position"].alias("position"), b["line"].alias("line")))
 
 
 def cells_of(line: Column, delimiter: str = ",") -> Column:
@@ -77,11 +112,11 @@ def cells_of(line: Column, delimiter: str = ",") -> Column:
 
 def preview(lines: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
     """First non-blank lines of every file: ``file, row, position, line``."""
-    order = Window.partitionBy("file").orderBy("position")
-    first = lines.filter(~F.col("later_block")).withColumn("row", F.row_number().over(order))
-    return first.filter(F.col("row") <= rows).select(
-        "file", (F.col("row") - 1).cast("bigint").alias("row"), "position", "line"
-    )
+    first = lines.filter(~F.col("later_block"))
+    if "row" not in lines.columns:
+        order = Window.partitionBy("file").orderBy("position")
+        first = first.withColumn("row", F.row_number().over(order).cast("bigint") - 1)
+    return first.filter(F.col("row") < rows).select("file", "row", "position", "line")
 
 
 def looks_numeric(text: Column) -> Column:
@@ -90,15 +125,18 @@ def looks_numeric(text: Column) -> Column:
 
 def header_score(cells: Column) -> Column:
     """How much a row looks like column names; -1 for an empty row."""
-    used = F.filter(F.transform(cells, lambda c: trim_all(c)), lambda c: c != "")
+    return bind(F.filter(F.transform(cells, lambda c: trim_all(c)), lambda c: c != ""), _score_of_used)
+
+
+def _score_of_used(used: Column) -> Column:
     n = F.size(used)
-    text = F.lower(F.array_join(used, " "))
-    words = F.lit(0.0)
-    for word in HEADER_WORDS:
-        words = words + F.when(F.contains(text, F.lit(word)), 0.25).otherwise(0.0)
+
+    def words(text: Column) -> Column:
+        return sum((F.when(F.contains(text, F.lit(word)), 0.25).otherwise(0.0) for word in HEADER_WORDS), F.lit(0.0))
+
     unique = F.size(F.array_distinct(used)) / n
     texts = F.size(F.filter(used, lambda c: ~looks_numeric(c))) / n
-    return F.when(n == 0, F.lit(-1.0)).otherwise(n + 2.0 * unique + texts + words)
+    return F.when(n == 0, F.lit(-1.0)).otherwise(n + 2.0 * unique + texts + bind(F.lower(F.array_join(used, " ")), words))
 
 
 def suggest_headers(lines: DataFrame, delimiter: str = ",", search_rows: int = PREVIEW_ROWS) -> DataFrame:
@@ -119,15 +157,18 @@ def fixed_headers(lines: DataFrame, header_row: int) -> DataFrame:
 
 
 def load(
-    lines: DataFrame, headers: DataFrame, delimiter: str = ",", keep_file: bool = False, most_layouts: int = 100_000,
+    lines: DataFrame, headers: DataFrame | None, delimiter: str = ",", keep_file: bool = False, most_layouts: int = 100_000,
 ) -> DataFrame:
     """All data rows below the headers, every column as text.
 
     Columns of one name are one column, whatever their place in a file. A line is parsed once, into as many
     cells as the widest header has, and a file's header tells which cell goes where, so any number
-    of layouts is one scan. The driver holds the different headers, hence ``most_layouts``.
+    of layouts is one scan. The driver holds the different headers, hence ``most_layouts``. Lines that
+    carry their file's header (``with_headers``) need no ``headers`` and no join by file.
     """
-    layouts = sorted(r.line for r in headers.select("line").distinct().limit(most_layouts + 1).collect())
+    own = headers is None
+    named = lines.where("row = 0").select("header.line") if own else headers.select("line")
+    layouts = sorted(r.line for r in named.distinct().limit(most_layouts + 1).collect())
     if not layouts:
         raise InputError("no header row was found")
     if len(layouts) > most_layouts:
@@ -136,9 +177,14 @@ def load(
     columns = list(dict.fromkeys(c for found in fresh.values() for c in found))
     # from 1; a header without the column has no place for it
     places = [(line, [found.index(c) + 1 if c in found else None for c in columns]) for line, found in fresh.items()]
-    known = headers.sparkSession.createDataFrame(places, "__layout string, __places array<int>")
-    heads = headers.join(known, headers["line"] == known["__layout"]).select("file", F.col("position").alias("__from"), "__places")
-    body = lines.join(heads, "file").filter(F.col("later_block") | (F.col("position") > F.col("__from")))
+    # a row for each layout, as many as the driver holds; all files may have the same one
+    known = lines.sparkSession.createDataFrame(places, "__layout string, __places array<int>")
+    if own:
+        below = lines.filter(F.col("position") > F.col("header.position"))
+        body = below.join(F.broadcast(known), below["header.line"] == known["__layout"])
+    else:
+        heads = headers.join(F.broadcast(known), headers["line"] == known["__layout"]).select("file", F.col("position").alias("__from"), "__places")
+        body = lines.join(heads, "file").filter(F.col("later_block") | (F.col("position") > F.col("__from")))
     width = max(map(len, fresh.values()))
     row = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"sep": delimiter, "mode": "PERMISSIVE", "escape": '"'})
     parsed = body.select(row.alias("r"), "__places", F.col("file").alias("_file"), F.col("position").alias("_line"))

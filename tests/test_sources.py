@@ -145,3 +145,20 @@ def test_many_layouts_are_one_scan(spark):
     assert sorted(found.columns) == names
     assert {tuple(r) for r in found.select(*[f"`{n}`" for n in names]).collect()} == expected
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+
+
+def test_headers_of_whole_texts_need_no_shuffle(spark):
+    """Whole texts give the headers and rows of the search by file, and no row of them is sent anywhere."""
+    texts = [("a", TITLED), ("b", PLAIN), ("c", "\n \n"), ("d", "1,2\n1,2\n"), ("e", "x\n\nBatch ID,Result\nB1,\"1\n2\"\n")]
+    df = spark.createDataFrame(texts, "file string, content string")
+    lines = delimited.split_records(df, "file", "content")
+    plain = lines.drop("row")  # as from files read by many tasks
+    found = delimited.text_headers(df, "file", "content")
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in delimited.suggest_headers(plain).select(found.columns).collect()}
+    assert {r.file: r.header_row for r in found.collect()} == {"a": 2, "b": 0, "d": 0, "e": 1}
+    loaded = delimited.load(delimited.with_headers(df, "file", "content"), None, keep_file=True)
+    by_file = delimited.load(plain, delimited.suggest_headers(plain), keep_file=True)
+    assert loaded.columns == by_file.columns
+    assert sorted(map(str, loaded.collect())) == sorted(map(str, by_file.collect()))
+    for frame in (found, loaded):
+        assert "Exchange hashpartitioning" not in frame._jdf.queryExecution().executedPlan().toString()
