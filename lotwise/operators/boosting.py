@@ -26,7 +26,7 @@ from lotwise.operators.ordering import SLICE, sliced
 from lotwise.session import checkpoint
 
 REPLAY = 25  # trees that a pass applies to the residuals last written
-FAN_IN = 8
+FAN_IN = 64  # blocks of sums that the driver adds up itself
 
 
 # --- ordered target statistics ---------------------------------------------------
@@ -204,6 +204,7 @@ def boosted_by_passes(rows: DataFrame, centre: float, width: int, deep: int, ite
     """A job for each level of each tree; the residuals are written anew every ``REPLAY`` trees."""
     trees: list[forest.Tree] = []
     new: list[forest.Tree] = []
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     now = rows.select((F.col("y") - F.lit(centre)).alias("rest"), "codes")
 
     def residuals(b: pa.RecordBatch, taken: list[forest.Tree]) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +212,10 @@ def boosted_by_passes(rows: DataFrame, centre: float, width: int, deep: int, ite
         return b.column(0).to_numpy() - sum(t.predict(codes) for t in taken), codes
 
     def summed(task, size: int) -> np.ndarray:
-        """The arrays of all tasks added up, first in groups."""
+        """The arrays of all tasks added up, where there are many of them first in groups.
+
+        A block per core and no shuffle: with a job for every level, a second stage is most of its time.
+        """
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([task(batches).tobytes()], pa.binary())], ["block"])
 
@@ -222,7 +226,9 @@ def boosted_by_passes(rows: DataFrame, centre: float, width: int, deep: int, ite
                     total += np.frombuffer(block)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["block"])
 
-        blocks = now.mapInArrow(run, "block binary").repartition(FAN_IN).mapInArrow(add, "block binary")
+        blocks = now.coalesce(cores).mapInArrow(run, "block binary")
+        if cores > FAN_IN:
+            blocks = blocks.repartition(FAN_IN).mapInArrow(add, "block binary")
         return sum(np.frombuffer(r.block) for r in blocks.collect())
 
     def sums(tree: forest.Tree, nodes: list[int]) -> np.ndarray:
@@ -294,14 +300,25 @@ def leaves_of(trees: Sequence[forest.Tree]) -> list[Leaf]:
 
 
 def add_leaf(total: np.ndarray, codes: np.ndarray, leaf: Leaf) -> None:
-    """Shapley terms of one leaf: features on its path, for all rows at once."""
+    """Shapley terms of one leaf: features on its path, for all rows at once.
+
+    A row's terms depend only on which of the leaf's features let it through, so they are
+    worked out once for every such set and looked up by row.
+    """
     features = list(leaf.tests)
     cover = [leaf.tests[f][2] for f in features]
-    met = [((codes[:, f] >= leaf.tests[f][0]) & (codes[:, f] <= leaf.tests[f][1])).astype(float) for f in features]
     d = len(features)
+    sets = np.arange(1 << d)
+    met = [(sets >> i & 1).astype(float) for i in range(d)]
+    own = np.zeros(len(codes), np.uint8 if d <= 8 else np.int64)
+    for i, f in enumerate(features):
+        low, high, _ = leaf.tests[f]
+        code = codes[:, f]
+        through = (code >= low) & (code <= high) if low else code <= high
+        own |= through.astype(own.dtype) << own.dtype.type(i)
     for i, f in enumerate(features):
         # coefficients of prod (cover + met * t) over the other features
-        terms = [np.ones(len(codes))]
+        terms = [np.ones(len(sets))]
         for j in range(d):
             if j != i:
                 terms = [
@@ -309,7 +326,7 @@ def add_leaf(total: np.ndarray, codes: np.ndarray, leaf: Leaf) -> None:
                     for k in range(len(terms) + 1)
                 ]
         weighted = sum(t * factorial(k) * factorial(d - 1 - k) / factorial(d) for k, t in enumerate(terms))
-        total[:, f] += leaf.value * (met[i] - cover[i]) * weighted
+        total[:, f] += (leaf.value * (met[i] - cover[i]) * weighted).take(own)
 
 
 def attributions(model: Boosted, rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, float]:
@@ -324,8 +341,8 @@ def attributions(model: Boosted, rows: DataFrame, columns: Sequence[str]) -> tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = forest.codes_of(b.column(1), len(columns))
-            total = np.zeros(codes.shape)
+            codes = np.asfortranarray(forest.codes_of(b.column(1), len(columns)))
+            total = np.zeros(codes.shape, order="F")
             for leaf in shared.value:
                 add_leaf(total, codes, leaf)
             at = pa.array(np.repeat(np.arange(b.num_rows), len(columns)))

@@ -98,3 +98,30 @@ def test_paths_merge_the_tests_of_a_feature():
                        one([10.0, 4.0, 6.0, 3.0, 3.0]), one([1.0, 0, 1.0, 0, 0]))
     found = sorted((x.value, x.share, x.tests[0][:2]) for x in boosting.leaves_of([tree]))
     assert found == [(1.0, 0.4, (0, 4)), (2.0, 0.3, (5, 9)), (3.0, 0.3, (10, 255))]
+
+
+def test_a_level_of_many_rows_is_a_job_of_one_stage(spark, monkeypatch):
+    made = [(f"k{i}", float(i % 13), [float(i % 5), float(i % 3)]) for i in range(200)]
+    df = spark.createDataFrame(made, "k string, label double, x array<double>").withColumn("features", array_to_vector("x"))
+    bins = forest.fit_bins(df, 2, 16)
+    coded = forest.coded(df, bins, "k")
+    spark.sparkContext.setJobGroup("rounds", "rounds of boosting")
+    boosting.fit_boosted(coded, bins, 3, 0.2, 3, 3.0, most_rows=50)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("rounds")]
+    assert sum(n == 1 for n in stages) >= 9  # three levels of three trees
+
+
+def test_terms_of_sets_equal_terms_of_rows():
+    """Paths of one to nine features, where rows are looked up by the set that lets them through."""
+    draw = np.random.default_rng(8)
+    for d in (1, 4, 9):
+        tests = {f: (int(draw.integers(0, 2)), int(draw.integers(2, 5)), float(draw.uniform(0.1, 0.9))) for f in range(d)}
+        codes = draw.integers(0, 6, (60, d)).astype(np.uint8)
+        total, one = np.zeros((60, d), order="F"), np.zeros((1, d))
+        boosting.add_leaf(total, np.asfortranarray(codes), boosting.Leaf(2.0, 0.2, tests))
+        met = np.array([[lo <= c <= hi for c, (lo, hi, _) in zip(r, tests.values())] for r in codes])
+        cover = np.prod([t[2] for t in tests.values()])
+        np.testing.assert_allclose(total.sum(1), 2.0 * (met.all(1) - cover))  # terms add up to the leaf's share
+        boosting.add_leaf(one, codes[7:8], boosting.Leaf(2.0, 0.2, tests))
+        np.testing.assert_allclose(one[0], total[7])
