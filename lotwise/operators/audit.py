@@ -13,7 +13,7 @@ from lotwise.functions.formats import percent
 from lotwise.operators.quantiles import column_quantiles
 from lotwise.operators.reshape import field_type, to_long
 from lotwise.operators.stats import is_numeric, level_facts, pair_correlations, three_values
-from lotwise.session import checkpoint
+from lotwise.session import checkpoint, stored
 
 LEAKAGE_CORRELATION = 0.95
 COLLINEAR_CORRELATION = 0.85
@@ -245,7 +245,11 @@ def audit_warnings(
 
 
 def run_audit(df: DataFrame, columns: Sequence[str], outcomes: Sequence[str]) -> Audit:
-    """All audit tables; frequencies of level columns are shared, quantiles and pairs are one pass each."""
+    """All audit tables; frequencies of level columns are shared, quantiles and pairs are one pass each.
+
+    The selected columns are written once, since the tables read them a dozen times and ``df`` may be a join.
+    """
+    df = df.sparkSession.read.parquet(stored(df.select(*dict.fromkeys([*columns, *outcomes]))))
     facts = checkpoint(level_facts(df, columns))  # a row per level column, read by two tables
     guidance = sample_size_guidance(df)
     by_name = leakage_names(df.sparkSession, columns, outcomes)

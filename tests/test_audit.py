@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lotwise.operators import audit, profile
 
@@ -64,3 +65,11 @@ def test_dates_in_text(spark):
 def test_many_levels(spark):
     df = spark.createDataFrame([(f"L{i}", "a") for i in range(25)], "lot string, kind string")
     assert [r["column"] for r in audit.many_levels(df, ["lot", "kind"]).collect()] == ["lot"]
+
+
+def test_the_audit_reads_its_table_once(spark, known):
+    """The tables of the audit come from one written copy, not from the plan behind the input."""
+    found = audit.run_audit(known.withColumn("nothing", F.lit(None)), ["temperature_C", "supplier_lot", "nothing"], OUTCOMES)
+    for table in (found.row_missing, found.outliers, found.drift_columns, found.guidance):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" in plan and "LogicalRDD" not in plan.replace("[variable", "")
