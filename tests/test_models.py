@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lotwise.errors import InputError
 from lotwise.operators import features, latent, trees
 from lotwise.plans import workflow
 
@@ -67,6 +68,12 @@ def test_encoding(data):
     assert features.encode(odd, state).first().features.toArray()[3:].sum() == 0
 
 
+def test_too_many_levels_are_refused_with_their_number(data):
+    assert len(features.fit_features(data, COLUMNS, most_features=6).names) == 6
+    with pytest.raises(InputError, match="^6 encoded"):
+        features.fit_features(data, COLUMNS, most_features=5)
+
+
 def test_latent_fit_equals_row_algorithm(data):
     x, y = matrix(batches()), batches()["yield_g"].to_numpy()
     z = (x - x.mean(0)) / x.std(0)
@@ -149,3 +156,48 @@ def test_a_category_of_noise_has_no_importance(spark):
     assert by["supplier"].model_importance < 0.1 and by["supplier"].mean_abs_attribution < 0.15 * by["feed"].mean_abs_attribution
     told = trees.boosted_trees(frame(spark, batches()), COLUMNS, "yield_g").variables.collect()
     assert {r.process_variable: r for r in told}["supplier"].mean_abs_attribution > by["supplier"].mean_abs_attribution
+
+
+def counted(spark, df):
+    """``df`` behind a step that counts the rows it is run for."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def step(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(step, df.schema), seen
+
+
+def test_models_run_the_plan_behind_their_rows_once(spark):
+    plain = frame(spark, batches()).withColumn("made", F.date_format(F.date_add(F.lit("2024-01-01"), F.expr("int(sequence div 3)")), "yyyy-MM-dd"))
+    data, seen = counted(spark, plain)
+    model = latent.partial_least_squares(data, COLUMNS, "yield_g", order_by="made")
+    assert seen.value == 400 and model.time_ordered["train_rows"] == 320 and model.time_ordered["test_rows"] == 80
+    assert model.time_ordered["test_r2"] > 0.6
+    data, seen = counted(spark, plain)
+    latent.principal_components(data, COLUMNS).variables.collect()
+    assert seen.value == 400
+
+
+def test_time_split_ranks_equal_times_by_key(spark):
+    rows = [(f"B{i:03d}", 1.0 if i < 90 else 0.0, float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "batch_id string, day double, y double").repartition(7)
+    split = features.time_split(df, "y", "day")
+    assert sorted(r.batch_id for r in split.test.collect()) == [f"B{i:03d}" for i in range(70, 90)]
+    assert split.train.count() == 80 and split.train.columns == split.test.columns == df.columns
+    facts = split.summary.first()
+    assert (facts.train_rows, facts.test_rows, facts.test_start, facts.test_end) == (80, 20, 1.0, 1.0)
+    same = df.withColumns({"batch_id": F.lit("B"), "day": F.lit(0.0)})
+    assert not features.time_split(same, "y", "day").available  # a key comes once; nothing older is left
+
+
+def test_products_take_unknown_levels_as_zero(data):
+    state = features.fit_features(data, COLUMNS)
+    odd = data.withColumn("supplier", F.when(F.col("batch_id") < "B0010", "S_X").otherwise(F.col("supplier")))
+    got = latent.total_of(list(latent.moments(odd, state, [], features.fold_of("batch_id", 3)).values()))
+    x = matrix(batches())
+    x[:10, 3:] = 0
+    x = np.column_stack([np.ones(len(x)), x - state.shifts()])
+    np.testing.assert_allclose(got.products, x.T @ x, rtol=1e-9, atol=1e-6)

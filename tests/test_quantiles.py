@@ -110,3 +110,12 @@ def test_histogram_keeps_empty_bins(spark):
     df = spark.createDataFrame([(0.0,), (10.0,), (10.0,)], "v double")
     rows = stats.histogram(df, "v", 5).orderBy("bin").collect()
     assert [r.row_count for r in rows] == [1, 0, 0, 0, 2]
+
+
+def test_value_at_a_rank(spark):
+    values = [None, None] + [float(v) for v in np.random.default_rng(3).integers(0, 60, 500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(6)
+    ordered = sorted(values, key=lambda v: (v is not None, v or 0.0))
+    for rank in (1, 3, 250, 502):
+        value, below = ordering.value_at(df, "v", rank)
+        assert value == ordered[rank - 1] and below == ordered.index(value)
