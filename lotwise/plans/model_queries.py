@@ -32,7 +32,7 @@ def process_and_measures(spark, folder):
 SELECT "Batch ID" AS batch_id, coalesce(balance_reading, b) AS balance_reading, coalesce(priority_rank, p) AS priority_rank,
        coalesce(order_status, 'none') AS order_status FROM merged, m""")
 def fea_impute(spark, folder):
-    data = views.merged(spark, folder)
+    data = features.stored_rows(views.merged(spark, folder), ["batch_id", *PREPARED])
     state = features.fit_features(data, PREPARED)
     return features.impute(data, state).select("batch_id", *PREPARED)
 
@@ -42,7 +42,7 @@ SELECT "Batch ID" AS batch_id, coalesce(balance_reading, b) AS balance_reading,
        CAST(order_status = 'F' AS DOUBLE) AS status_f, CAST(order_status = 'O' AS DOUBLE) AS status_o,
        CAST(order_status = 'P' AS DOUBLE) AS status_p FROM merged, m""")
 def fea_encode(spark, folder):
-    data = views.merged(spark, folder)
+    data = features.stored_rows(views.merged(spark, folder), ["batch_id", *PREPARED])
     state = features.fit_features(data, PREPARED)
     vector = vector_to_array("features")
     names = ["balance_reading", "priority_rank", "status_f", "status_o", "status_p"]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lotwise.errors import InputError
 from lotwise.operators import features, latent, trees
-from lotwise.plans import workflow
+from lotwise.plans import model_queries, views, workflow
 
 SMALL = trees.ForestSettings(trees=20, repeats=2)
 
@@ -181,6 +181,14 @@ def test_models_run_the_plan_behind_their_rows_once(spark):
     assert seen.value == 400
 
 
+@pytest.mark.parametrize("name", ["fea_encode", "fea_impute"])
+def test_prepared_features_join_their_tables_once(spark, monkeypatch, name):
+    merged, seen = counted(spark, views.merged(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(views, "merged", lambda *_: merged)
+    rows = getattr(model_queries, name)(spark, "").collect()
+    assert len(rows) > 1000 and seen.value == len(rows)
+
+
 def test_time_split_ranks_equal_times_by_key(spark):
     rows = [(f"B{i:03d}", 1.0 if i < 90 else 0.0, float(i)) for i in range(100)]
     df = spark.createDataFrame(rows, "batch_id string, day double, y double").repartition(7)
