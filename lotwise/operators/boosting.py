@@ -11,6 +11,7 @@ levels would cost more than the rows; beyond it every level is a pass over the p
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from math import factorial
@@ -18,14 +19,18 @@ from math import factorial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from lotwise.operators import forest
 from lotwise.operators.ordering import SLICE, sliced
-from lotwise.session import checkpoint
+from lotwise.session import checkpoint, checkpoint_folder
 
-REPLAY = 25  # trees that a pass applies to the residuals last written
+REPLAY = 25  # trees between two checkpoints of the residuals
+CHUNK_ROWS = 1 << 15  # summed at a time
+HELD_ROWS = 1 << 20  # of a block of residuals
+ENTRIES = 1 << 10  # of a table of leaf terms
 FAN_IN = 64  # blocks of sums that the driver adds up itself
 
 
@@ -122,17 +127,52 @@ class Boosted:
         return self.centre + sum(t.predict(codes) for t in self.trees)
 
 
+def columns_of(codes: np.ndarray) -> np.ndarray:
+    """(feature, row): the codes of a feature side by side."""
+    return np.ascontiguousarray(codes.T)
+
+
+def node_of(tree: forest.Tree, codes: np.ndarray) -> np.ndarray:
+    """The node each row has come to, for codes of (feature, row)."""
+    n = codes.shape[1]
+    node, own, flat = np.zeros(n, np.intp), np.arange(n), codes.ravel()
+    inner = np.maximum(tree.feature, 0) * n
+    cut = np.where(tree.feature < 0, 255, tree.cut).astype(np.uint8)  # nothing is above it: rows stay in a leaf
+    left = np.where(tree.feature < 0, np.arange(len(tree.feature)), tree.left)
+    for _ in range(tree_depth(tree)):
+        node = left.take(node) + (flat.take(inner.take(node) + own) > cut.take(node))
+    return node
+
+
+def tree_depth(tree: forest.Tree) -> int:
+    deep = np.zeros(len(tree.feature), int)
+    for node in np.flatnonzero(tree.feature >= 0):  # children stand behind their parents
+        deep[tree.left[node]:tree.left[node] + 2] = deep[node] + 1
+    return int(deep.max())
+
+
+def predicted(tree: forest.Tree, codes: np.ndarray) -> np.ndarray:
+    parts = [tree.value.take(node_of(tree, codes[:, at:at + CHUNK_ROWS])) for at in range(0, codes.shape[1], CHUNK_ROWS)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def node_sums(rest: np.ndarray, codes: np.ndarray, deep: int, tree: forest.Tree, nodes: list[int]) -> np.ndarray:
-    """(node, 2, feature, bin): rows and residuals of the wanted nodes of a tree being grown."""
-    slot = np.full(len(tree.feature), -1)
-    slot[nodes] = np.arange(len(nodes))
-    slot = slot[tree.leaf_of(codes)]
-    mine = np.flatnonzero(slot >= 0)
-    width = codes.shape[1]
-    key = (slot[mine, None] * (width * deep) + codes[mine] + np.arange(width) * deep).ravel()
-    size = len(nodes) * width * deep
-    found = np.bincount(key, minlength=size), np.bincount(key, np.repeat(rest[mine], width), size)
-    return np.stack([x.reshape(len(nodes), width, deep).astype(float) for x in found], axis=1)
+    """(node, 2, feature, bin): rows and residuals of the wanted nodes of a tree being grown, for codes of (feature, row)."""
+    width, size = len(codes), len(nodes) * deep
+    found = np.zeros((2, width, size))
+    first = np.full(len(tree.feature), -1)  # of the sums of a node
+    first[nodes] = np.arange(len(nodes)) * deep
+    for at in range(0, len(rest), CHUNK_ROWS):
+        own, own_codes = rest[at:at + CHUNK_ROWS], codes[:, at:at + CHUNK_ROWS]
+        start = first.take(node_of(tree, own_codes))
+        if len(tree.feature) > 1:
+            mine = np.flatnonzero(start >= 0)
+            start, own, own_codes = start.take(mine), own.take(mine), own_codes.take(mine, axis=1)
+        for f in range(width):
+            key = start + own_codes[f]
+            found[0, f] += np.bincount(key, minlength=size)
+            found[1, f] += np.bincount(key, own, size)
+    return found.reshape(2, width, len(nodes), deep).transpose(2, 0, 1, 3)
 
 
 def grown(sums: Callable[[forest.Tree, list[int]], np.ndarray], depth: int, ridge: float) -> forest.Tree:
@@ -184,12 +224,12 @@ def boosted_in_task(rows: DataFrame, centre: float, width: int, deep: int, itera
         if not held:
             return
         rest = np.concatenate([b.column(1).to_numpy() for b in held]) - centre
-        codes = np.concatenate([forest.codes_of(b.column(2), width) for b in held])
+        codes = columns_of(np.concatenate([forest.codes_of(b.column(2), width) for b in held]))
         kept = []
         for _ in range(iterations):
             tree = grown(lambda t, nodes: node_sums(rest, codes, deep, t, nodes), depth, ridge)
             tree.value *= rate
-            rest -= tree.predict(codes)
+            rest -= predicted(tree, codes)
             kept.append(tree.packed())
         error = float((rest**2).sum())
         yield pa.RecordBatch.from_arrays(
@@ -201,62 +241,65 @@ def boosted_in_task(rows: DataFrame, centre: float, width: int, deep: int, itera
 
 
 def boosted_by_passes(rows: DataFrame, centre: float, width: int, deep: int, iterations: int, rate: float, depth: int, ridge: float) -> tuple[list[forest.Tree], float]:
-    """A job for each level of each tree; the residuals are written anew every ``REPLAY`` trees."""
-    trees: list[forest.Tree] = []
-    new: list[forest.Tree] = []
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    now = rows.select((F.col("y") - F.lit(centre)).alias("rest"), "codes")
+    """A job of one stage for each level of each tree, over blocks of residuals and codes that the executors keep.
 
-    def residuals(b: pa.RecordBatch, taken: list[forest.Tree]) -> tuple[np.ndarray, np.ndarray]:
-        codes = forest.codes_of(b.column(1), width)
-        return b.column(0).to_numpy() - sum(t.predict(codes) for t in taken), codes
-
-    def summed(task, size: int) -> np.ndarray:
+    The first job of a tree also takes the tree before off the residuals. Every ``REPLAY`` trees the
+    blocks are checkpointed, so that a lost executor has few trees to take off again.
+    """
+    spark = rows.sparkSession
+    checkpoint_folder(spark)
+    cores = spark.sparkContext.defaultParallelism
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in itertools.chain(batches, [None]):
+            if held and (b is None or sum(len(y) for y, _ in held) >= HELD_ROWS):
+                y, codes = (np.concatenate(x) for x in zip(*held))
+                yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()), pa.array([columns_of(codes).tobytes()], pa.binary())], ["rest", "codes"])
+                held = []
+            if b is not None and b.num_rows:
+                held.append((b.column(0).to_numpy() - centre, forest.codes_of(b.column(1), width)))
+
+    def opened(row) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(row.rest), np.frombuffer(row.codes, np.uint8).reshape(width, -1)
+
+    blocks = rows.select("y", "codes").coalesce(cores).mapInArrow(packed, "rest binary, codes binary").rdd.map(opened)
+    now = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    before = None  # blocks that ``now`` is made from, kept until it is there
+
+    def summed(task: Callable) -> np.ndarray:
         """The arrays of all tasks added up, where there are many of them first in groups.
 
-        A block per core and no shuffle: with a job for every level, a second stage is most of its time.
+        One task a core and no shuffle: with a job for every level, a second stage is most of its time.
         """
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array([task(batches).tobytes()], pa.binary())], ["block"])
+        def run(own: Iterator[tuple]) -> Iterator[np.ndarray]:
+            found = [task(rest, codes) for rest, codes in own]
+            return iter([sum(found)] if found else [])
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(size)
-            for b in batches:
-                for block in b.column(0).to_pylist():
-                    total += np.frombuffer(block)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["block"])
-
-        blocks = now.coalesce(cores).mapInArrow(run, "block binary")
-        if cores > FAN_IN:
-            blocks = blocks.repartition(FAN_IN).mapInArrow(add, "block binary")
-        return sum(np.frombuffer(r.block) for r in blocks.collect())
+        made = now.mapPartitions(run)
+        return made.treeReduce(np.add) if cores > FAN_IN else sum(made.collect())
 
     def sums(tree: forest.Tree, nodes: list[int]) -> np.ndarray:
-        taken = list(new)
-
-        def task(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            total = np.zeros((len(nodes), 2, width, deep))
-            for b in batches:
-                if b.num_rows:
-                    total += node_sums(*residuals(b, taken), deep, tree, nodes)
-            return total
-
-        return summed(task, 2 * len(nodes) * width * deep).reshape(len(nodes), 2, width, deep)
-
-    def written(batches: Iterator[pa.RecordBatch], taken: list[forest.Tree]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(residuals(b, taken)[0]), b.column(1)], ["rest", "codes"])
+        nonlocal before
+        found = summed(lambda rest, codes: node_sums(rest, codes, deep, tree, nodes))
+        if before is not None:
+            before.unpersist()
+            before = None
+        return found
 
+    trees: list[forest.Tree] = []
     for _ in range(iterations):
         tree = grown(sums, depth, ridge)
         tree.value *= rate
         trees.append(tree)
-        new.append(tree)
-        if len(new) == REPLAY or len(trees) == iterations:
-            taken, new = list(new), []
-            now = checkpoint(now.mapInArrow(lambda batches, taken=taken: written(batches, taken), "rest double, codes binary"))
-    return trees, float(now.agg(F.sum(F.col("rest") * F.col("rest"))).first()[0])
+        before = now
+        now = before.map(lambda b, tree=tree: (b[0] - predicted(tree, b[1]), b[1])).persist(StorageLevel.MEMORY_AND_DISK)
+        if len(trees) % REPLAY == 0:
+            now.checkpoint()
+    error = float(summed(lambda rest, _: np.array([(rest**2).sum()]))[0])
+    for x in (now, before):
+        x.unpersist()
+    return trees, error
 
 
 def scored(model: Boosted, rows: DataFrame) -> DataFrame:
@@ -329,24 +372,70 @@ def add_leaf(total: np.ndarray, codes: np.ndarray, leaf: Leaf) -> None:
         total[:, f] += (leaf.value * (met[i] - cover[i]) * weighted).take(own)
 
 
+@dataclass(frozen=True)
+class Terms:
+    """The terms of some leaves of a tree as a table: a row's entry is the sum of its codes' steps, a column a feature."""
+
+    steps: dict[int, np.ndarray]  # feature -> step of every code
+    table: dict[int, np.ndarray]
+
+
+def bounds_of(leaves: Sequence[Leaf]) -> dict[int, np.ndarray]:
+    """The codes after which something changes, for each feature that the leaves test."""
+    met: dict[int, set[int]] = {}
+    for leaf in leaves:
+        for f, (low, high, _) in leaf.tests.items():
+            met.setdefault(f, set()).update(int(x) for x in (low - 1, high) if 0 <= x < 255)
+    return {f: np.array(sorted(x)) for f, x in met.items()}
+
+
+def terms_of(leaves: Sequence[Leaf]) -> list[Terms]:
+    """Tables of at most ``ENTRIES`` entries, or of one leaf, for leaves in the order of ``leaves_of``.
+
+    All codes between two bounds have the same terms, so those of one code of each stretch are worked out.
+    """
+    bounds = bounds_of(leaves)
+    shape = [len(b) + 1 for b in bounds.values()]
+    size = int(np.prod(shape))
+    if size > ENTRIES and len(leaves) > 1:
+        half = len(leaves) // 2
+        return terms_of(leaves[:half]) + terms_of(leaves[half:])
+    places = np.unravel_index(np.arange(size), shape) if bounds else ()
+    codes = np.zeros((size, len(bounds)), np.uint8, order="F")
+    for i, (b, place) in enumerate(zip(bounds.values(), places)):
+        codes[:, i] = np.append(b, 255)[place]
+    total, slot = np.zeros(codes.shape, order="F"), {f: i for i, f in enumerate(bounds)}
+    for leaf in leaves:
+        add_leaf(total, codes, Leaf(leaf.value, leaf.share, {slot[f]: t for f, t in leaf.tests.items()}))
+    strides = np.cumprod([1, *shape[:0:-1]])[::-1]
+    steps = {f: np.searchsorted(b, np.arange(256), side="left") * int(k) for (f, b), k in zip(bounds.items(), strides)}
+    return [Terms(steps, {f: total[:, i].copy() for f, i in slot.items()})]
+
+
 def attributions(model: Boosted, rows: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, float]:
     """(key, process_variable, attribution) for (key, codes), long form, and the base value.
 
     Exact for the tree-path value function: a leaf counts with its cover share for features left
     out. With the base value the contributions of a row sum to its prediction.
     """
-    leaves = leaves_of(model.trees)
-    shared = rows.sparkSession.sparkContext.broadcast(leaves)  # bounded by iterations and depth
+    trees = [leaves_of([t]) for t in model.trees]
+    shared = rows.sparkSession.sparkContext.broadcast(trees)  # bounded by iterations and depth
     columns = list(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = [t for leaves in shared.value for t in terms_of(leaves)]
         for b in batches:
-            codes = np.asfortranarray(forest.codes_of(b.column(1), len(columns)))
+            codes = np.asfortranarray(forest.codes_of(b.column(1), len(columns)).astype(np.intp))
             total = np.zeros(codes.shape, order="F")
-            for leaf in shared.value:
-                add_leaf(total, codes, leaf)
+            for t in terms:
+                if t.steps:
+                    at = sum(step.take(codes[:, f]) for f, step in t.steps.items())
+                    for f, values in t.table.items():
+                        total[:, f] += values.take(at)
             at = pa.array(np.repeat(np.arange(b.num_rows), len(columns)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(columns * b.num_rows), pa.array(total.ravel())], ["key", "process_variable", "attribution"])
 
     kinds = T.StructType([rows.schema["key"], T.StructField("process_variable", T.StringType()), T.StructField("attribution", T.DoubleType())])
-    return rows.select("key", "codes").mapInArrow(run, kinds), model.centre + float(sum(x.value * x.share for x in leaves))
+    base = model.centre + float(sum(x.value * x.share for leaves in trees for x in leaves))
+    met = rows.select("key", "codes").coalesce(rows.sparkSession.sparkContext.defaultParallelism)  # a task makes the tables anew
+    return met.mapInArrow(run, kinds), base

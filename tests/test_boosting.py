@@ -125,3 +125,64 @@ def test_terms_of_sets_equal_terms_of_rows():
         np.testing.assert_allclose(total.sum(1), 2.0 * (met.all(1) - cover))  # terms add up to the leaf's share
         boosting.add_leaf(one, codes[7:8], boosting.Leaf(2.0, 0.2, tests))
         np.testing.assert_allclose(one[0], total[7])
+
+
+def test_tables_of_terms_equal_terms_leaf_by_leaf(spark):
+    """Attributions by tables over stretches of codes, whole trees in one table or cut in halves."""
+    draw = np.random.default_rng(9)
+    codes = draw.integers(0, 64, (400, 3)).astype(np.uint8)
+    y = codes[:, 0] * 0.1 + (codes[:, 1] > 30) * codes[:, 2] * 0.2 + draw.normal(size=400)
+    rest, trees = y - y.mean(), []
+    across = boosting.columns_of(codes)
+    for _ in range(6):
+        tree = boosting.grown(lambda t, nodes: boosting.node_sums(rest, across, 64, t, nodes), 5, 3.0)
+        np.testing.assert_array_equal(boosting.predicted(tree, across), tree.predict(codes))
+        trees.append(tree)
+        rest = rest - 0.3 * tree.predict(codes)
+    expected = np.zeros(codes.shape, order="F")
+    for leaf in boosting.leaves_of(trees):
+        boosting.add_leaf(expected, np.asfortranarray(codes), leaf)
+    for entries in (1 << 10, 40):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(boosting, "ENTRIES", entries)
+            terms = [t for tree in trees for t in boosting.terms_of(boosting.leaves_of([tree]))]
+        assert len(terms) < sum((t.feature < 0).sum() for t in trees)  # not a look-up for every leaf
+        total = np.zeros(codes.shape)
+        for t in terms:
+            for f, values in t.table.items():
+                total[:, f] += values[sum(step[codes[:, g]] for g, step in t.steps.items())]
+        np.testing.assert_allclose(total, expected, atol=1e-9)
+    model = boosting.Boosted(trees, forest.Bins([np.arange(63.0)] * 3), 1.0, 0.0, 1.0)
+    rows = spark.createDataFrame([(i, bytes(c)) for i, c in enumerate(codes)], "key long, codes binary").repartition(5)
+    found, base = boosting.attributions(model, rows, ["a", "b", "c"])
+    sums = {r.key: r.s for r in found.groupBy("key").agg(F.sum("attribution").alias("s")).collect()}
+    np.testing.assert_allclose([base + sums[i] for i in range(400)], model.predict(codes), atol=1e-9)
+
+
+def test_levels_of_many_rows_read_the_blocks_that_executors_keep(spark, monkeypatch):
+    """Blocks that executors keep give the trees of one task, and none is left behind."""
+    monkeypatch.setattr(boosting, "HELD_ROWS", 64)  # several blocks to a task
+    monkeypatch.setattr(boosting, "REPLAY", 4)
+    noise, kept, plain = np.random.default_rng(6).normal(size=2000), [], boosting.grown
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs
+    earlier = held().size()
+
+    def grown(*given):
+        tree = plain(*given)
+        kept.append(held().size() - earlier)
+        return tree
+
+    monkeypatch.setattr(boosting, "grown", grown)
+    made = [(f"k{i}", float(i % 5 + noise[i]), [float(i % 5), float(i % 31)]) for i in range(2000)]
+    df = spark.createDataFrame(made, "k string, label double, x array<double>").withColumn("features", array_to_vector("x"))
+    bins = forest.fit_bins(df, 2, 32)
+    coded = forest.coded(df, bins, "k")
+    passes = boosting.fit_boosted(coded, bins, 10, 0.2, 3, 3.0, 100)
+    assert kept == [1] * 10  # the blocks of this tree; those of the one before are gone
+    monkeypatch.setattr(boosting, "grown", plain)
+    whole = boosting.fit_boosted(coded, bins, 10, 0.2, 3, 3.0, 1 << 18)
+    assert abs(whole.error - passes.error) < 1e-8 * whole.error
+    for a, b in zip(whole.trees, passes.trees):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all()
+        np.testing.assert_allclose(a.value, b.value, atol=1e-9)
+    assert held().size() == earlier
